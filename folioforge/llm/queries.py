@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encoded
 from .exact import exact_duplicates
+from .jaccard import near_duplicates
 from .packing import packed
 from .storage import table
 
@@ -27,14 +28,42 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
     return made.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op4_byte_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op4_byte_bpe, op5_ngram_jaccard, op10_exact_dedup)}
 
 ORACLE_SQL = {
+    "op5_ngram_jaccard": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+            FROM words),
+        classes AS (SELECT list_sort(s) AS s, min(doc_id) AS id, count(*) AS copies FROM sets WHERE len(s) > 0 GROUP BY 1),
+        grams AS (SELECT id, len(s) AS n, unnest(s) AS g FROM classes),
+        counted AS (SELECT id, n, g, count(*) OVER (PARTITION BY g) AS f FROM grams),
+        frequent AS (SELECT id, n, g, row_number() OVER (PARTITION BY id ORDER BY f, g) AS r FROM counted),
+        prefix AS (SELECT id, n, g FROM frequent WHERE r <= n - ceil(0.85 * n) + 1),
+        candidates AS (SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b USING (g) WHERE a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+        pairs AS (
+            SELECT a, b FROM candidates c JOIN classes x ON x.id = c.a JOIN classes y ON y.id = c.b
+            WHERE 100 * len(list_intersect(x.s, y.s)) >= 85 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))),
+        both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+        reach AS (SELECT id AS a, id AS b FROM classes UNION SELECT r.a, p.b FROM reach r JOIN both_ways p ON r.b = p.a),
+        roots AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a),
+        links AS (SELECT a AS id, sum(copies) AS n FROM both_ways JOIN classes ON id = b GROUP BY a)
+        SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(root, d.doc_id) AS component_id,
+               CASE WHEN len(d.s) = 0 THEN 0 ELSE coalesce(l.n, 0) + c.copies - 1 END::BIGINT AS n_links
+        FROM sets d LEFT JOIN classes c ON c.s = list_sort(d.s) LEFT JOIN roots r ON r.id = c.id LEFT JOIN links l ON l.id = c.id""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
