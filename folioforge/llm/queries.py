@@ -9,6 +9,8 @@ from .bpe import encoded
 from .exact import exact_duplicates
 from .jaccard import near_duplicates
 from .packing import packed
+from .quality import judged
+from .secrets import scanned
 from .storage import table
 
 
@@ -32,12 +34,24 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = scanned(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    said = lambda found: F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("found", lambda s: s["kind"] != "guess")
+    return made.select("row.doc_id", of("assign"), of("access"), of("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("found")).alias("spans"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
     return made.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op4_byte_bpe, op5_ngram_jaccard, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op4_byte_bpe, op5_ngram_jaccard, op6_risk_controlled_quality, op9_guess_cost_secrets, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op5_ngram_jaccard": r"""
