@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from .bpe import encoded
 from .exact import exact_duplicates
 from .jaccard import near_duplicates
+from .langid import held_out, labelled, trained
 from .packing import packed
 from .quality import judged
 from .secrets import scanned
 from .storage import table
+from .urls import judged_urls
 
 
 def vocabulary(name: str) -> str:
@@ -25,6 +27,14 @@ def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digest=True)
 
 
+#: The rules of the contract.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op2_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = encoded(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), decode=True)
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -38,6 +48,12 @@ def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    made = labelled(docs, trained(docs.where(~held_out())), carry=["doc_id"])
+    return made.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op9_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = scanned(table(spark, sf_dir, "documents"), carry=["doc_id"])
     of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -51,7 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op4_byte_bpe, op5_ngram_jaccard, op6_risk_controlled_quality, op9_guess_cost_secrets, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_url_language_model, op4_byte_bpe, op5_ngram_jaccard, op6_risk_controlled_quality, op7_viterbi_language, op9_guess_cost_secrets, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op5_ngram_jaccard": r"""
