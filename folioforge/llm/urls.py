@@ -39,6 +39,12 @@ def with_verdict_rule(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFra
     return df.withColumn("rule", rule).withColumn("said", verdict).drop("url_", "rest_")
 
 
+def site_name(host):
+    """What the models read: the labels before the last two.  Domains and paths are left to the rules: models trained
+    on URLs that the rules decide would only learn the rules again.  A host of two labels or fewer is read whole."""
+    return F.regexp_replace(host, r"(?<=[^.])\.[^.]+\.[^.]+$", "")
+
+
 def _cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """For every character: its row; for each order, cells of the context and of the context with the character."""
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -102,7 +108,7 @@ def _score(state: tuple):
     return run
 
 
-def judged_urls(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...] = SEEDS, seed_weight: int = 50, false_rejects: float = 0.01, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+def judged_urls(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...] = SEEDS, seed_weight: int = 5, false_rejects: float = 0.01, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, ratio of every row.
 
     rules: (host/path, `allow` or `block`); the longest that fits decides.  Other URLs are judged by the models, which
@@ -111,12 +117,14 @@ def judged_urls(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str
     Null, empty and odd URLs have an empty host and path and, with nothing to judge, are allowed.
     """
     urls = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"))
-    ruled = with_verdict_rule(urls, rules).drop("url").withColumn("text", F.concat("host", "path"))
+    ruled = with_verdict_rule(urls, rules).drop("url").withColumn("text", site_name(F.col("host")))
     kind = urls.schema["page_id"].dataType.simpleString()
     kept_back = F.pmod(F.xxhash64("host"), F.lit(5)) == 0
     spark = pages.sparkSession
     planted = spark.range(seed_weight * len(seeds)).select(F.element_at(F.array(*[F.lit(s) for s in seeds]), (F.col("id") % len(seeds) + 1).cast("int")).alias("text"), F.lit(True).alias("wrong")) if seeds else None
-    lessons = ruled.where(F.col("said").isNotNull() & ~kept_back).select("text", (F.col("said") == "block").alias("wrong"))
+    # a rule that blocks one section of a site says nothing about the site's name; each site counts once for a verdict
+    tells = (F.col("said") == "allow") | F.col("rule").endswith("/") & (F.length("rule") - F.length(F.translate("rule", "/", "")) == 1)
+    lessons = ruled.where(F.col("said").isNotNull() & tells & ~kept_back).select("host", "text", (F.col("said") == "block").alias("wrong")).distinct().drop("host")
     lessons = lessons.unionByName(planted) if planted is not None else lessons
     table = lessons.mapInArrow(_count, "order int, cell long, n long").groupBy("order", "cell").agg(F.sum("n").alias("n")).toPandas()
     state = tuple(table[c].to_numpy() for c in ("order", "cell", "n"))
@@ -130,5 +138,5 @@ def judged_urls(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str
         if above > false_rejects * allowed:
             threshold = (k + 1) / 256
             break
-    wrong = (F.length(F.concat("host", "path")) > 0) & (F.col("ratio") > threshold)
+    wrong = (F.length("host") > 0) & (F.col("ratio") > threshold)
     return scored.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(wrong, "block").otherwise("allow")).alias("verdict"), "ratio")
