@@ -13,6 +13,7 @@ from .packing import packed
 from .quality import judged
 from .secrets import scanned
 from .storage import table
+from .templates import extracted
 from .urls import judged_urls
 
 
@@ -35,6 +36,10 @@ def op2_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = encoded(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), decode=True)
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -67,7 +72,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_url_language_model, op4_byte_bpe, op5_ngram_jaccard, op6_risk_controlled_quality, op7_viterbi_language, op9_guess_cost_secrets, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_url_language_model, op3_site_templates, op4_byte_bpe, op5_ngram_jaccard, op6_risk_controlled_quality, op7_viterbi_language, op9_guess_cost_secrets, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op5_ngram_jaccard": r"""
