@@ -13,6 +13,7 @@ from .packing import packed
 from .quality import judged
 from .secrets import scanned
 from .storage import table
+from .substrings import without_repeats
 from .templates import extracted
 from .urls import judged_urls
 
@@ -59,6 +60,11 @@ def op7_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op8_de_bruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = without_repeats(table(spark, sf_dir, "documents"), texts=False)
+    return made.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = scanned(table(spark, sf_dir, "documents"), carry=["doc_id"])
     of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -72,9 +78,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_url_language_model, op3_site_templates, op4_byte_bpe, op5_ngram_jaccard, op6_risk_controlled_quality, op7_viterbi_language, op9_guess_cost_secrets, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_url_language_model, op3_site_templates, op4_byte_bpe, op5_ngram_jaccard, op6_risk_controlled_quality, op7_viterbi_language, op8_de_bruijn_repeats, op9_guess_cost_secrets, op10_exact_dedup)}
 
 ORACLE_SQL = {
+    "op8_de_bruijn_repeats": r"""
+        WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS t
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)),
+        firsts AS (SELECT t, min((doc_id, i)) AS f FROM windows GROUP BY t HAVING count(*) > 1),
+        later AS (SELECT doc_id, i FROM windows JOIN firsts USING (t) WHERE (doc_id, i) > f),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM later),
+        lists AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, len(coalesce(ks, []))::BIGINT AS n_removed,
+               sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(coalesce(ks, []), k)), lambda k: w[k]), ' '), '')) AS kept_sha256
+        FROM words LEFT JOIN lists USING (doc_id)""",
     "op5_ngram_jaccard": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
