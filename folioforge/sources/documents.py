@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from .document import Document
 from .objects import Damaged
@@ -36,18 +38,20 @@ def parsed_one(path: str, content: bytes | None) -> dict:
         return {"path": path, "status": "damaged"}
 
 
-COLUMNS = ["path", "status", "page_count", "repaired", "pages", "label_ranges", "outline", "links"]
+def _parse(schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, contents = batch.column("path").to_pylist(), batch.column("content")
+            for path, content in zip(paths, contents, strict=True):
+                yield pa.RecordBatch.from_pylist([parsed_one(path, content.as_py())], schema=schema)
 
-
-def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = [parsed_one(p, c) for p, c in zip(frame["path"], frame["content"], strict=True)]
-        yield pd.DataFrame(rows, columns=COLUMNS).astype({"page_count": "Int32", "repaired": "boolean"})
+    return run
 
 
 def parsed(files: DataFrame) -> DataFrame:
     """One row per file (columns path, content); write it once and take the tables below from it."""
-    return files.select("path", "content").mapInPandas(_parse, SCHEMA)
+    schema = _parse_datatype_string(SCHEMA)
+    return files.select("path", "content").mapInArrow(_parse(to_arrow_schema(schema)), schema)
 
 
 def rows_of(parsed_files: DataFrame, column: str) -> DataFrame:
