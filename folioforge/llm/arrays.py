@@ -88,7 +88,7 @@ class Words:
         before[1:n] = space[: n - 1] if n else False
         after[: n - 1 if n else 0] = space[1:]
         before[offsets[:-1]] = True
-        after[np.maximum(offsets[1:] - 1, 0)] = True
+        after[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
         if n:
             after[n - 1] = True
         self.starts = np.flatnonzero(~space & before[:n])
