@@ -45,8 +45,10 @@ class Page:
 
 
 class Document:
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, password: bytes | None = None):
         self.file = File(data)
+        if password is not None and "Encrypt" in self.file.trailer:
+            self.file.status |= self.file.unlock(password)
         self.root = self.file.get(self.file.trailer["Root"])
         self.pages: list[Page] = []
         self.page_of: dict[int, int] = {}

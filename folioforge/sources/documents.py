@@ -31,7 +31,7 @@ def parsed_one(path: str, content: bytes | None) -> dict:
         doc = Document(content or b"")
         pages = [{"page": p.number, **dict(zip(("x0", "y0", "x1", "y1"), p.box, strict=True)), "rotate": p.turn, "width": p.size[0], "height": p.size[1]} for p in doc.pages]
         names = ("page", "ord", "uri", "target", "x", "y", "x0", "y0", "x1", "y1")
-        return {"path": path, "status": "locked" if "Encrypt" in doc.file.trailer else "open", "page_count": len(pages), "repaired": doc.file.repaired, "pages": pages, "label_ranges": [dict(zip(("first", "style", "prefix", "start"), r, strict=True)) for r in doc.label_ranges()], "outline": [dict(zip(("ord", "depth", "title", "uri", "page", "x", "y"), r, strict=True)) for r in doc.outline()], "links": [dict(zip(names, r, strict=True)) for r in doc.links()]}
+        return {"path": path, "status": "open" if doc.file.status else "locked", "page_count": len(pages), "repaired": doc.file.repaired, "pages": pages, "label_ranges": [dict(zip(("first", "style", "prefix", "start"), r, strict=True)) for r in doc.label_ranges()], "outline": [dict(zip(("ord", "depth", "title", "uri", "page", "x", "y"), r, strict=True)) for r in doc.outline()], "links": [dict(zip(names, r, strict=True)) for r in doc.links()]}
     except Damaged as error:
         return {"path": path, "status": f"damaged: {error}"}
     except (RecursionError, ValueError, TypeError, KeyError, IndexError, AttributeError):

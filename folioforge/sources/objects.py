@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from . import crypt
 from .codecs import FilterError, decoded
 
 DEEPEST, HOPS, OBJECT_MOST = 512, 64, 1 << 24
@@ -148,7 +149,7 @@ class File:
     def __init__(self, data: bytes):
         if b"%PDF" not in data[:1024]:
             raise Damaged("not a document of this kind")
-        self.data, self.places, self.trailer, self.cache, self.repaired, self.open = data, {}, {}, {}, False, set()
+        self.data, self.places, self.trailer, self.cache, self.repaired, self.open, self.key = data, {}, {}, {}, False, set(), None
         try:
             self._tables()
         except (Damaged, ValueError, IndexError, TypeError, FilterError):
@@ -157,6 +158,47 @@ class File:
             self._repair()
         if not isinstance(self.get(self.trailer.get("Root")), dict):
             raise Damaged("no catalogue")
+        self.status = self.unlock(b"") if "Encrypt" in self.trailer else 1
+
+    # -- encryption
+
+    def unlock(self, password: bytes) -> int:
+        """Status bits: 1 none needed, 2 user, 4 owner; 0 leaves the file locked. Tables made before are read anew."""
+        self.key = None
+        entries = self.get(self.trailer.get("Encrypt"))
+        if not isinstance(entries, dict) or self.get(entries.get("Filter")) != "Standard":
+            return 0
+        plain = {k: self.get(v) for k, v in entries.items()}
+        ids = self.get(self.trailer.get("ID"))
+        first = self.get(ids[0]) if isinstance(ids, list) and ids else b""
+        filters = {k: self.get(v) for k, v in (plain.get("CF") or {}).items()}
+        method = lambda use: str(self.get((filters.get(str(plain.get(use))) or {}).get("CFM"))) if plain.get("V", 0) >= 4 else "V2"
+        try:
+            status, self.key = crypt.authenticate(password, plain, first if isinstance(first, bytes) else b"")
+        except (KeyError, TypeError, IndexError):
+            return 0
+        self.methods = {"StmF": method("StmF"), "StrF": method("StrF")}
+        self.cache = {}
+        return status
+
+    def _decrypted(self, value, number: int, generation: int):
+        if isinstance(value, bytes):
+            return self._plain(value, "StrF", number, generation)
+        if isinstance(value, list):
+            return [self._decrypted(v, number, generation) for v in value]
+        if isinstance(value, dict):
+            return {k: self._decrypted(v, number, generation) for k, v in value.items()}
+        if isinstance(value, Stream) and value.entries.get("Type") != "XRef":
+            return Stream(self._decrypted(value.entries, number, generation), self._plain(value.raw, "StmF", number, generation))
+        return value
+
+    def _plain(self, data: bytes, use: str, number: int, generation: int) -> bytes:
+        method = self.methods[use]
+        if method == "AESV3":
+            return crypt.cbc_decrypt(self.key, data)
+        if method == "AESV2":
+            return crypt.cbc_decrypt(crypt.object_key(self.key, number, generation, True), data)
+        return crypt.rc4(crypt.object_key(self.key, number, generation, False), data) if method == "V2" and data else data
 
     # -- cross references
 
@@ -299,6 +341,9 @@ class File:
                 found, value = self._object(place[1])
                 if found != number:
                     raise Damaged("another object is here")
+                lock = self.trailer.get("Encrypt")
+                if self.key is not None and not (isinstance(lock, Ref) and lock.number == number):
+                    value = self._decrypted(value, number, place[2])
             else:
                 holder = self._load(place[1])
                 pairs = self._pairs(holder)
