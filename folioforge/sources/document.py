@@ -34,6 +34,7 @@ class Page:
         self.box = cut if cut[0] < cut[2] and cut[1] < cut[3] else media
         turn = file.get(both.get("Rotate"))
         turn = int(turn) if isinstance(turn, int | float) else 0
+        self.resources = both.get("Resources")
         self.number, self.entries, self.turn = number, entries, (turn % 360 + 45) // 90 * 90 % 360
         w, h = self.box[2] - self.box[0], self.box[3] - self.box[1]
         self.size = (h, w) if self.turn in (90, 270) else (w, h)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from .content import characters
 from .document import Document
 from .objects import Damaged
 
@@ -54,6 +55,29 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_parse(to_arrow_schema(schema)), schema)
 
 
+CHARS = "path string, page_no int, seq long, rune int, quad array<double>, ox double, oy double, ex double, ey double, size double, axis boolean"
+
+
+def _chars(schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    doc = Document(content.as_py() or b"")
+                except (Damaged, RecursionError, ValueError, TypeError, KeyError, IndexError, AttributeError):
+                    continue
+                for page in doc.pages:
+                    yield pa.RecordBatch.from_pylist([{"path": path} | c for c in characters(doc, page)], schema=schema)
+
+    return run
+
+
+def chars(files: DataFrame) -> DataFrame:
+    """Positioned characters of every page, for search; one batch per page."""
+    schema = _parse_datatype_string(CHARS)
+    return files.select("path", "content").mapInArrow(_chars(to_arrow_schema(schema)), schema)
+
+
 def rows_of(parsed_files: DataFrame, column: str) -> DataFrame:
     """The table `pages`, `label_ranges`, `outline` or `links` with the path of its document."""
     return parsed_files.select("path", F.explode(column).alias("r")).select("path", "r.*")

@@ -91,3 +91,18 @@ def test_tables_and_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select * from arrived").count() == 2
+
+
+def test_characters_and_search(spark, tmp_path):
+    from folioforge.operators.textsearch import search_pages
+    from folioforge.sources.content import operations
+    from folioforge.sources.documents import chars
+
+    body = "q 1 0 0 1 10 20 cm BT /F 10 Tf 5 50 Td (Hi) Tj [(A) -500 (B)] TJ T* ET Q BI /W 1 ID xx EI /X Do"
+    data = file_of("<< /Type /Catalog /Pages 2 0 R >>", "<< /Kids [3 0 R] /MediaBox [0 0 200 100] /Resources << /Font << /F << /BaseFont /Courier >> >> >> >>", "<< /Type /Page /Contents 4 0 R >>", f"<< /Length {len(body)} >>\nstream\n{body}\nendstream")
+    (tmp_path / "c.pdf").write_bytes(data)
+    assert [name for name, _ in operations(body.encode())] == ["q", "cm", "BT", "Tf", "Td", "Tj", "TJ", "T*", "ET", "Q", "BI", "Do"]
+    table = chars(binary_files(spark, str(tmp_path)))
+    rows = table.orderBy("seq").collect()
+    assert [(chr(r.rune), round(r.ox, 3), round(r.oy, 3)) for r in rows] == [("H", 15.0, 30.0), ("i", 21.0, 30.0), ("A", 27.0, 30.0), ("B", 38.0, 30.0)]
+    assert search_pages(table.withColumnRenamed("path", "doc_id"), "a b").count() == 1
