@@ -43,21 +43,18 @@ def _edges(words: Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return at, at + where, grams
 
 
-def _by_row(rows: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Values of each row, which must be sorted, as 32-bit integers."""
-    cuts = np.flatnonzero(np.diff(rows)) + 1
-    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
-        if hi > lo:
-            yield int(rows[lo]), values[lo:hi].astype("<i4").tobytes()
-
-
-def _batch(ids: list, places: list, buckets: list, blobs: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.binary()), pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "places", "bucket", "rows"])
+def _flow(told: np.ndarray, sent: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Decided places, by document, and records still to be compared, by hash: a row for each bucket of either."""
+    places = list(bucketed(told["doc"] % buckets, [told]))
+    rows = list(bucketed((sent["hash"] % np.uint64(buckets)).astype(np.int64), [sent]))
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in places] + [b for b, _ in rows], pa.int32()), pa.array([c[0] for _, c in places] + [None] * len(rows), pa.binary()), pa.array([None] * len(places) + [c[0] for _, c in rows], pa.binary())], names=["bucket", "places", "rows"])
 
 
 _MINIMIZER = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("place", "<i4")])
 _EDGE = np.dtype([("hash", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("place", "<i4")])
-FLOW = "doc_id long, places binary, bucket int, rows binary"
+_PLACE = np.dtype([("doc", "<i8"), ("place", "<i4")])
+FLOW = "bucket int, places binary, rows binary"
+TOLD = "bucket int, places binary"
 
 
 def _minimizers(size: int, buckets: int):
@@ -74,46 +71,62 @@ def _minimizers(size: int, buckets: int):
                 known = count[of] > 1  # repeats here: no other task need say so
                 out = np.zeros(len(first), _MINIMIZER)
                 out["hash"], out["doc"], out["place"] = key[first], ids[row[first]], np.where(count > 1, -1, place[first])
-                made = list(bucketed((out["hash"] % np.uint64(buckets)).astype(np.int64), [out]))
-                told = list(_by_row(row[known], place[known]))
-                yield _batch([int(ids[r]) for r, _ in told] + [None] * len(made), [p for _, p in told] + [None] * len(made), [int(ids[r]) % buckets for r, _ in told] + [b for b, _ in made], [None] * len(told) + [c[0] for _, c in made])
+                told = np.zeros(int(known.sum()), _PLACE)
+                told["doc"], told["place"] = ids[row[known]], place[known]
+                yield _flow(told, out, buckets)
 
     return run
 
 
 def _read(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[pa.RecordBatch]:
-    """Pass decided places on; at the end the packed rows, as one array, are the generator's value."""
+    """Pass decided places on; at the end the records, as one array, are the generator's value."""
     blobs = []
     for batch in batches:
-        ids, places = batch.column("doc_id"), batch.column("places")
-        keep = pa.array(np.flatnonzero(~np.asarray(places.is_null())))
+        keep = pa.array(np.flatnonzero(~np.asarray(batch.column("places").is_null())))
         if len(keep):
-            yield pa.RecordBatch.from_arrays([ids.take(keep), places.take(keep)], names=["doc_id", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("bucket", "places")], names=["bucket", "places"])
         blobs += [np.frombuffer(b, dtype) for b in batch.column("rows").to_pylist() if b]
     return np.concatenate(blobs) if blobs else np.zeros(0, dtype)
 
 
-def _told(doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((place, doc))
-    told = list(_by_row(doc[order], place[order]))
-    for k in range(0, len(told), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in told[k : k + 10_000]], pa.int64()), pa.array([p for _, p in told[k : k + 10_000]], pa.binary())], names=["doc_id", "places"])
+def _told(found: np.ndarray, buckets: int) -> pa.RecordBatch:
+    told = np.zeros(len(found), _PLACE)
+    told["doc"], told["place"] = found["doc"], found["place"]
+    made = list(bucketed(told["doc"] % buckets, [told]))
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int32()), pa.array([c[0] for _, c in made], pa.binary())], names=["bucket", "places"])
+
+
+def _repeated(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = yield from _read(batches, _MINIMIZER)
+        order = np.argsort(rows["hash"])
+        key = rows["hash"][order]
+        twice = np.zeros(len(rows), bool)
+        twice[1:] |= key[1:] == key[:-1]
+        twice[:-1] |= key[1:] == key[:-1]
+        found = rows[order[twice]]
+        yield _told(found[found["place"] >= 0], buckets)
+
+    return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = yield from _read(batches, _MINIMIZER)
-    order = np.argsort(rows["hash"])
-    key = rows["hash"][order]
-    twice = np.zeros(len(rows), bool)
-    twice[1:] |= key[1:] == key[:-1]
-    twice[:-1] |= key[1:] == key[:-1]
-    found = rows[order[twice]]
-    found = found[found["place"] >= 0]
-    yield from _told(found["doc"], found["place"])
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document: its places, sorted, as 32-bit integers."""
+    blobs = [np.frombuffer(b, _PLACE) for batch in batches for b in batch.column("places").to_pylist()]
+    if not blobs:
+        return
+    told = np.concatenate(blobs)
+    told = told[np.lexsort((told["place"], told["doc"]))]
+    cuts = np.flatnonzero(np.diff(told["doc"])) + 1
+    starts = np.concatenate([[0], cuts])
+    ends = np.append(cuts, len(told))
+    for k in range(0, len(starts), 10_000):
+        spans = list(zip(starts[k : k + 10_000].tolist(), ends[k : k + 10_000].tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(told["doc"][starts[k : k + 10_000]]), pa.array([np.ascontiguousarray(told["place"][a:b]).tobytes() for a, b in spans], pa.binary())], names=["doc_id", "places"])
 
 
-def _unpacked(lists: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(x), "<i4") if x else np.zeros(0, np.int32) for x in lists.to_pylist()]
+def _unpacked(places: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<i4") if x else np.zeros(0, np.int32) for x in places.to_pylist()]
 
 
 def _candidate_edges(size: int, buckets: int):
@@ -149,23 +162,24 @@ def _candidate_edges(size: int, buckets: int):
                 repeats = edge[np.unique(head[later])]
                 hot = np.concatenate([hot, repeats[~np.isin(repeats["hash"], hot["hash"])]])
                 hot = hot[np.argsort(hot["hash"], kind="stable")] if len(hot) <= HOT else np.zeros(0, _EDGE)
-                made = list(bucketed((sent["hash"] % np.uint64(buckets)).astype(np.int64), [sent]))
-                gone = edge[later]
-                gone = gone[np.lexsort((gone["place"], gone["doc"]))]
-                told = list(_by_row(gone["doc"], gone["place"]))
-                yield _batch([d for d, _ in told] + [None] * len(made), [p for _, p in told] + [None] * len(made), [d % buckets for d, _ in told] + [b for b, _ in made], [None] * len(told) + [c[0] for _, c in made])
+                told = np.zeros(int(later.sum()), _PLACE)
+                told["doc"], told["place"] = edge["doc"][later], edge["place"][later]
+                yield _flow(told, sent, buckets)
 
     return run
 
 
-def _later_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    edge = yield from _read(batches, _EDGE)
-    edge = edge[np.lexsort((edge["place"], edge["doc"], edge["check"], edge["hash"]))]
-    new = np.ones(len(edge), bool)
-    new[1:] = (edge["hash"][1:] != edge["hash"][:-1]) | (edge["check"][1:] != edge["check"][:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(edge)), 0)) if len(edge) else np.zeros(0, np.int64)
-    later = (edge["doc"] > edge["doc"][head]) | (edge["place"] > edge["place"][head])
-    yield from _told(edge["doc"][later], edge["place"][later])
+def _later_edges(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edge = yield from _read(batches, _EDGE)
+        edge = edge[np.lexsort((edge["place"], edge["doc"], edge["check"], edge["hash"]))]
+        new = np.ones(len(edge), bool)
+        new[1:] = (edge["hash"][1:] != edge["hash"][:-1]) | (edge["check"][1:] != edge["check"][:-1])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(edge)), 0)) if len(edge) else np.zeros(0, np.int64)
+        later = (edge["doc"] > edge["doc"][head]) | (edge["place"] > edge["place"][head])
+        yield _told(edge[later], buckets)
+
+    return run
 
 
 def _removed(size: int, texts: bool):
@@ -204,10 +218,13 @@ def without_repeats(docs: DataFrame, size: int = 20, carry: list[str] | None = N
     buckets = shuffle_buckets(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (carry or [id_column])]).alias("row"), F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     plain = rows.where("doc_id is not null").select("doc_id", "text")
-    marked = plain.mapInArrow(_minimizers(size, buckets), FLOW).repartition(buckets, "bucket").mapInArrow(_repeated, "doc_id long, places binary")
-    marked = written(marked.groupBy("doc_id").agg(F.collect_list("places").alias("places")), "minimizers")
+
+    def by_document(flow: DataFrame, decide) -> DataFrame:
+        told = flow.repartition(buckets, "bucket").mapInArrow(decide(buckets), TOLD)
+        return told.repartition(buckets, "bucket").mapInArrow(_gathered, "doc_id long, places binary")
+
+    marked = written(by_document(plain.mapInArrow(_minimizers(size, buckets), FLOW), _repeated), "minimizers")
     edges = plain.join(marked, "doc_id").mapInArrow(_candidate_edges(size, buckets), FLOW)
-    later = edges.repartition(buckets, "bucket").mapInArrow(_later_edges, "doc_id long, places binary")
-    later = written(later.groupBy("doc_id").agg(F.collect_list("places").alias("places")), "later")
+    later = written(by_document(edges, _later_edges), "later")
     schema = StructType([StructField("row", rows.schema["row"].dataType), *_parse_datatype_string(f"n_words long, n_removed long, {'kept_text' if texts else 'kept_sha256'} string").fields])
     return rows.join(later, "doc_id", "left").select("row", "text", "places").mapInArrow(_removed(size, texts), schema)
