@@ -27,7 +27,7 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 NONE = np.iinfo(np.int32).max
 LONGEST_ROW = 192
-CACHED_PIECES = 1_500_000
+CACHED_PIECES = 1_000_000
 _classes: np.ndarray | None = None
 
 
@@ -143,8 +143,8 @@ class Known:
     """Hash of a piece -> its number, by open addressing; numbers count up from 0."""
 
     def __init__(self, most: int):
-        self.shift = np.uint64(64 - (most * 3).bit_length())
-        self.slots = 1 << (most * 3).bit_length()
+        self.shift = np.uint64(64 - (most * 2 - 1).bit_length())
+        self.slots = 1 << (most * 2 - 1).bit_length()
         self.keys, self.number, self.count = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32), 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -186,7 +186,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = Known(2 * CACHED_PIECES)
+        self.known = Known(CACHED_PIECES)
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     @classmethod
@@ -341,7 +341,7 @@ class Encoder:
                 self.forget()
                 new = np.arange(len(hashes))
                 distinct, example = np.unique(hashes, return_index=True)
-            if len(distinct) > 2 * CACHED_PIECES:  # one enormous text
+            if len(distinct) > CACHED_PIECES:  # one enormous text
                 self.known = Known(len(distinct))
             self._learn(points, starts[new[example]], ends[new[example]], distinct)
             place[new] = self.known.find(hashes[new])

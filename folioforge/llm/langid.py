@@ -20,6 +20,8 @@ from .bpe import LETTER, classes, code_points
 
 BUCKETS = 1 << 16
 BLOCK = 64
+#: Bytes of text labelled at once; a chunk takes some hundred times as much memory.
+CHUNK = 3 << 19
 #: First code point of each script range; what lies between is named by the last one at or below it.
 SCRIPTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0xF00, "other"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other")]
 NAMES = sorted({n for _, n in SCRIPTS})
@@ -72,7 +74,7 @@ def _count(languages: list[str]):
         total = np.zeros((len(languages), 2 * BUCKETS + len(NAMES)), np.int64)
         number = {x: k for k, x in enumerate(languages)}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=CHUNK):
                 lang = np.array([number[x] for x in part.column("lang").to_pylist()])
                 row, size, script, word, of, gram = features(*text_buffer(part.column("text")))
                 for k in np.unique(lang[row]).tolist():
@@ -161,7 +163,7 @@ def _label(model_state: tuple, with_spans: bool):
         many = len(model.languages)
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=CHUNK):
                 n = part.num_rows
                 row, size, script, word, of, gram = features(*text_buffer(part.column("text")))
                 pred, score = np.full(n, many), np.zeros(n)

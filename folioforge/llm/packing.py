@@ -144,7 +144,7 @@ def _tokens(path: str, end_id: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, part_no, used = encoder("merges", path), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=3 << 19):
                 ids, first = made.encode(*text_buffer(lowered(part.column("text"))))
                 rows = part.num_rows
                 raw = np.insert(ids, first[1:], end_id).astype("<u4" if wide else "<u2").tobytes()
