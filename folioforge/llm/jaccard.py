@@ -5,7 +5,8 @@ similarity reaches the threshold differ in at most d n-grams; cut into more than
 fragments, so documents meet where a fragment of one has the same content as that of the other.  Documents that meet
 are kept together only if their counts per coarse fragment leave room for the required overlap (the counts' L1
 distance is a lower bound of the difference).  Within each group that remains, overlaps are counted fragment by
-fragment and summed per pair, all pairs at once as products of 0/1 matrices; large groups are cut into pairs of blocks.
+fragment and summed per pair, all pairs at once as products of 0/1 matrices; large groups are cut into pairs of blocks,
+whose sets are dealt once, and then travel to each pair with their common n-grams listed once.
 
 Equal sets are one class throughout, so copies cost one row; no step lists all pairs of a group as rows.
 """
@@ -26,6 +27,7 @@ from .storage import shuffle_buckets, written
 
 COARSE = 64
 BLOCK = 1024
+PARTS = 4
 COLUMNS = 4096
 
 
@@ -265,11 +267,63 @@ def _sets(size: int):
                 first = np.searchsorted(rows, np.arange(part.num_rows + 1)).tolist()
                 keep = np.flatnonzero(print_ == part.column("print").to_numpy(zero_copy_only=False))
                 taken = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([part.column(c).take(taken) for c in ("grp", "low", "high", "print", "copies")] + [pa.array([keys[first[k] : first[k + 1]].tobytes() for k in keep.tolist()], pa.binary())], names=["grp", "low", "high", "print", "copies", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(c).take(taken) for c in ("grp", "part", "blocks", "print", "copies")] + [pa.array([keys[first[k] : first[k + 1]].tobytes() for k in keep.tolist()], pa.binary())], names=["grp", "part", "blocks", "print", "copies", "grams"])
 
     return run
 
 
+def packed_sets(prints: np.ndarray, copies: np.ndarray, sets: list[np.ndarray]) -> bytes:
+    """Sets that have much in common, compressed: their n-grams once, the most frequent first, and each set as the
+    steps between the places of its n-grams in that list."""
+    size = np.array([len(s) for s in sets], np.int64)
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    row = np.repeat(np.arange(len(sets)), size)
+    place = place[column]
+    place = place[np.lexsort((place, row))]
+    step = np.diff(place, prepend=0)
+    starts = np.cumsum(size) - size
+    step[starts] = place[starts]
+    raw = b"".join([np.array([len(sets), len(values)], np.int64).tobytes(), prints.astype(np.int64).tobytes(), copies.astype(np.int64).tobytes(), size.tobytes(), values[order].tobytes(), step.astype("<u4").tobytes()])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked_sets(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prints, copies, sizes, and the n-grams of the sets one after another."""
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    n, distinct = np.frombuffer(raw, np.int64, 2).tolist()
+    prints, copies, size = (np.frombuffer(raw, np.int64, n, 16 + 8 * n * k) for k in range(3))
+    values = np.frombuffer(raw, np.uint64, distinct, 16 + 24 * n)
+    step = np.frombuffer(raw, "<u4", -1, 16 + 24 * n + 8 * distinct).astype(np.int64)
+    total = np.cumsum(step)
+    starts = np.cumsum(size) - size
+    return prints, copies, size, values[total - np.repeat(total[starts] - step[starts], size)]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A part of a block as one row for each pair of blocks that it takes part in."""
+    kinds = {"grp": pa.int64(), "low": pa.int32(), "high": pa.int32(), "block": pa.int32(), "packed": pa.binary()}
+    out: list[tuple] = []
+    held = 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
+    for (grp, part), (blocks, prints, copies, blobs) in _keyed(batches, ["grp", "part"], ["blocks", "print", "copies", "grams"]):
+        rows = list({x: k for k, x in enumerate(prints)}.values())
+        blob = packed_sets(np.array(prints)[rows], np.array(copies)[rows], [np.frombuffer(blobs[k], np.uint64) for k in rows])
+        block = part // PARTS
+        for other in range(blocks[0]):
+            out.append((grp, min(block, other), max(block, other), block, blob))
+            held += len(blob) + 100
+            if held > 4 << 20:
+                yield made()
+                out, held = [], 0
+    yield made()
+
+
 def overlaps(first: np.ndarray, grams: np.ndarray) -> np.ndarray:
     """Overlap of every two sets: products of 0/1 matrices, one for each fragment of the order, summed per pair."""
     values, column, count = np.unique(grams, return_inverse=True, return_counts=True)
@@ -293,15 +347,12 @@ def _links(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int | None, int]] = []
-        for (_, low, high), (prints, copies, blobs, blocks) in _keyed(batches, ["grp", "low", "high"], ["print", "copies", "grams", "block"]):
-            seen: dict[int, int] = {}
-            for k, x in enumerate(prints):
-                seen.setdefault(x, k)
-            rows = list(seen.values())
-            print_, copies, block = (np.array(x)[rows] for x in (prints, copies, blocks))
-            sets = [np.frombuffer(blobs[k], np.uint64) for k in rows]
-            size = np.array([len(s) for s in sets])
-            overlap = overlaps(np.concatenate([[0], np.cumsum(size)]), np.concatenate(sets))
+        for (_, low, high), (blocks, blobs) in _keyed(batches, ["grp", "low", "high"], ["block", "packed"]):
+            parts = [unpacked_sets(x) for x in blobs]
+            print_, copies, size, grams = (np.concatenate(x) for x in zip(*parts, strict=True))
+            block = np.repeat(blocks, [len(p[0]) for p in parts])
+            rows = range(len(print_))
+            overlap = overlaps(np.concatenate([[0], np.cumsum(size)]), grams)
             linked = limit.linked(overlap, size[:, None], size[None, :])
             np.fill_diagonal(linked, False)
             if low != high:
@@ -345,11 +396,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_colum
     near = groups.select(F.col("node").alias("print"), "root").union(groups.select(F.col("root").alias("print"), "root").distinct())
     near = classes.drop("outline").join(near, "print").select("doc_id", "print", "copies", group, "n")
     count = near.groupBy("grp").agg(F.count("*").alias("members"))
-    near = near.join(count, "grp").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
-    near = written(near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("doc_id", "grp", "print", "copies", "block", F.least("block", "other").cast("int").alias("low"), F.greatest("block", "other").cast("int").alias("high")), "near")
-    wanted = near.groupBy("doc_id", "print").agg(F.lit(1).alias("grp"), F.lit(0).alias("low"), F.lit(0).alias("high"), F.first("copies").alias("copies"))
-    sets = rows.join(wanted, "doc_id").mapInArrow(_sets(words), "grp int, low int, high int, print long, copies long, grams binary").select("print", "grams")
-    blocks = near.drop("doc_id").join(sets, "print").repartition(buckets, "grp", "low", "high").sortWithinPartitions("grp", "low", "high")
+    near = near.join(count, "grp").withColumn("parts", F.ceil(F.col("members") / (BLOCK // PARTS)).cast("int")).withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
+    near = written(near.select("doc_id", "grp", "print", "copies", "part", F.ceil(F.col("parts") / PARTS).cast("int").alias("blocks")), "near")
+    sets = rows.join(near, "doc_id").mapInArrow(_sets(words), "grp long, part int, blocks int, print long, copies long, grams binary")
+    parts = sets.repartition(buckets, "grp", "part").sortWithinPartitions("grp", "part").mapInArrow(_packed, "grp long, low int, high int, block int, packed binary")
+    blocks = parts.repartition(buckets, "grp", "low", "high").sortWithinPartitions("grp", "low", "high")
     found = written(blocks.mapInArrow(_links(percent), "a long, b long, links long"), "links")
 
     linked = components(found.where("b is not null").select("a", "b"))
