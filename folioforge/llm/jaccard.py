@@ -25,7 +25,7 @@ from .arrays import Words, bucketed, grouped_cells, mixed, slices, span_hashes,
 from .components import components, forest
 from .storage import shuffle_buckets, written
 
-COARSE = 64
+COARSE = 6
 BLOCK = 1024
 PARTS = 4
 COLUMNS = 4096
@@ -83,6 +83,12 @@ def fingerprints(rows: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray
     return size, mixed(total[first[1:]] - total[first[:-1]] + size.astype(np.uint64)).view(np.int64)
 
 
+def outline_bits(size: np.ndarray) -> np.ndarray:
+    """Binary logarithm of the number of coarse fragments: no more than 8 n-grams in each on average, so that the
+    counts of unrelated long sets differ by more than a link allows."""
+    return np.maximum(COARSE, np.ceil(np.log2(np.maximum(size, 1) / 8)).astype(np.int64))
+
+
 def _outlines(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,10 +96,11 @@ def _outlines(size: int):
                 n = part.num_rows
                 rows, keys = shingle_sets(*text_buffer(part.column("text")), size)
                 count, print_ = fingerprints(rows, keys, n)
-                cells = np.bincount(rows * COARSE + (keys >> np.uint64(58)).astype(np.int64), minlength=n * COARSE)
-                outline = np.minimum(cells, 65535).astype("<u2").tobytes()
-                step = 2 * COARSE
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), pa.array(print_), pa.array([outline[k * step : (k + 1) * step] for k in range(n)], pa.binary())], names=["doc_id", "n", "print", "outline"])
+                bits = outline_bits(count)
+                at = np.concatenate([[0], np.cumsum(1 << bits)])
+                cell = (keys >> (64 - bits[rows]).astype(np.uint64)).astype(np.int64)
+                outline = np.minimum(np.bincount(at[rows] + cell, minlength=at[-1]), 65535).astype("<u2")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), pa.array(print_), pa.array([outline[at[k] : at[k + 1]].tobytes() for k in range(n)], pa.binary())], names=["doc_id", "n", "print", "outline"])
 
     return run
 
@@ -238,14 +245,25 @@ def _close(percent: int):
 
         for _, (prints, sizes, outlines) in _keyed(batches, ["meeting", "low", "high"], ["print", "n", "outline"]):
             print_, n = np.array(prints), np.array(sizes)
-            cells = np.frombuffer(b"".join(outlines), "<u2").reshape(-1, COARSE).astype(np.int32)
             order = np.argsort(n, kind="stable")
-            print_, n, cells = print_[order], n[order], cells[order]
+            print_, n = print_[order], n[order]
+            bits = outline_bits(n)
+            levels = {v: np.flatnonzero(bits == v) for v in np.unique(bits).tolist()}  # runs of rows, as n is sorted
+            cells = {(v, v): np.frombuffer(b"".join([outlines[k] for k in order[at].tolist()]), "<u2").reshape(len(at), 1 << v) for v, at in levels.items()}
             tied = np.zeros(len(n), bool)
             for k in range(len(n) - 1):
-                last = np.searchsorted(n, n[k] * 100 // percent, "right")
-                distance = np.abs(cells[k + 1 : last] - cells[k]).sum(axis=1)
-                near = k + 1 + np.flatnonzero(distance <= limit.difference(n[k] + n[k + 1 : last]))
+                last, own, near = np.searchsorted(n, n[k] * 100 // percent, "right"), int(bits[k]), []
+                mine = cells[own, own][k - levels[own][0]].astype(np.int32)
+                for v, at in levels.items():
+                    lo, hi = max(k + 1, int(at[0])), min(last, int(at[-1]) + 1)
+                    if hi > lo and (v, own) not in cells:  # finer outlines add up to coarser ones
+                        cells[v, own] = cells[v, v].reshape(len(at), 1 << own, -1).sum(axis=2, dtype=np.int32)
+                    step = max(1, 1 << 20 >> own)
+                    for some in range(lo, hi, step):
+                        end = min(hi, some + step)
+                        distance = np.abs(cells[v, own][some - at[0] : end - at[0]] - mine).sum(axis=1)
+                        near.append(some + np.flatnonzero(distance <= limit.difference(n[k] + n[some:end])))
+                near = np.concatenate(near) if near else np.zeros(0, np.int64)
                 if len(near):
                     found.append(np.column_stack([np.full(len(near), print_[k]), print_[near]]))
                     held += len(near)

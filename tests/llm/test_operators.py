@@ -185,6 +185,18 @@ def test_packed_sets_round_trip():
     assert [sorted(x.tolist()) for x in np.split(grams, np.cumsum(size)[:-1])] == [s.tolist() for s in sets]
 
 
+def test_jaccard_of_long_texts(spark):
+    import random
+
+    pick, texts = random.Random(8), []
+    for n in (500, 640, 1000, 1030, 1200, 2500):  # on either side of a change of the outlines' resolution
+        words = [f"w{pick.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(words), " ".join(words + [f"z{j}" for j in range(n // 10)]), " ".join([*words[: n // 2], *(f"y{n}x{j}" for j in range(n // 2))])]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(str, map(tuple, jaccard.near_duplicates(made).select("doc_id", "n_shingles", "component_id", "n_links").collect())))
+    assert got == sorted(map(str, brute_components(rows_of(made), 4, 85)))
+
+
 def test_jaccard_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     words = [f"w{k}" for k in range(60)]
