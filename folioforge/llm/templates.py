@@ -1,7 +1,7 @@
 """Main text of web pages, with site templates removed.
 
-Every page is parsed once into elements; each element's subtree has a hash of its tags and text.  Spark counts on how
-many pages of a host each hash occurs; subtrees that recur on many of them are template and are deleted, with the
+Every page is parsed into elements; each element's subtree has a hash of its tags and text.  Spark counts on how many pages
+of a host each hash occurs; subtrees that recur on a fixed number of them are template and are deleted, with the
 regions that HTML itself marks as menus, headers, footers, forms and the like.  Paragraph text inside the article is
 never judged by recurrence, so a sentence that many articles share stays.
 """
@@ -134,15 +134,20 @@ def _article(root: Element) -> Element:
     return best
 
 
+def counted(e: Element) -> bool:
+    return e.tag in BLOCKS and e.tag not in ("html", "body", "article", "main")
+
+
 def judged_by_recurrence(e: Element) -> bool:
     return e.tag in BLOCKS and e.tag not in PARAGRAPHS
 
 
-def main_text(root: Element, template: frozenset[int] | set[int]) -> str:
-    """Blocks of the article in page order, joined by newlines."""
+def cut(root: Element) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """Blocks of the article in page order, and (hash, first block, end) of every element that recurrence may judge."""
     top = _article(root)
     inside = top.tag != "#root"
     blocks: list[str] = []
+    judged: list[tuple[int, int, int]] = []
     run: list[str] = []
 
     def flush() -> None:
@@ -152,16 +157,17 @@ def main_text(root: Element, template: frozenset[int] | set[int]) -> str:
                 blocks.append(block)
             run.clear()
 
-    stack: list = [(top, 0)]
+    stack: list = [(top, 0, 0)]
     while stack:
-        e, k = stack.pop()
-        if k == 0 and e is not top and (e.tag in DROPPED or e.tag == "header" and not inside or e.marked or e.hash in template and (judged_by_recurrence(e) or not inside)):
+        e, k, first = stack.pop()
+        if k == 0 and e is not top and (e.tag in DROPPED or e.tag == "header" and not inside or e.marked):
             if e.tag in BLOCKS:
                 flush()
             continue
         if k == 0:
             if e.tag in BLOCKS:
                 flush()
+                first = len(blocks)
             elif e.tag == "br":
                 run.append(" ")
         while k < len(e.children):
@@ -170,59 +176,87 @@ def main_text(root: Element, template: frozenset[int] | set[int]) -> str:
             if isinstance(c, str):
                 run.append(c)
             else:
-                stack.append((e, k))
-                stack.append((c, 0))
+                stack.append((e, k, first))
+                stack.append((c, 0, 0))
                 break
         else:
             if e.tag in BLOCKS:
                 flush()
+                if e is not top and counted(e) and (judged_by_recurrence(e) or not inside) and len(blocks) > first:
+                    judged.append((e.hash, first, len(blocks)))
     flush()
-    return "\n".join(blocks)
+    return blocks, judged
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, hash, pages) of this batch: each page counts once for a subtree."""
-    for batch in batches:
-        seen: dict[tuple[str, int], int] = {}
-        pages: dict[str, int] = {}
-        for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            pages[host] = pages.get(host, 0) + 1
-            for h in {e.hash for e in hashed(parse(text)) if e.tag in BLOCKS and e.tag not in ("html", "body", "article", "main")}:
-                seen[host, h] = seen.get((host, h), 0) + 1
-        rows = [(host, h, n) for (host, h), n in seen.items()] + [(host, None, n) for host, n in pages.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array(np.array([r[1] or 0 for r in rows], np.uint64).view(np.int64), mask=np.array([r[1] is None for r in rows], bool)), pa.array([r[2] for r in rows], pa.int64())], names=["host", "hash", "n"])
+def page_key(text: str) -> int:
+    """Pages with equal HTML are one page."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+
+
+def signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
 
+def _hashes(least_pages: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(host, hash, page) of this batch; least_pages different pages of a subtree are enough to know it recurs."""
+        for batch in batches:
+            seen: dict[tuple[str, int], set[int]] = {}
+            for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                page = page_key(text)
+                for h in {e.hash for e in hashed(parse(text)) if counted(e)}:
+                    of = seen.setdefault((host, h), set())
+                    if len(of) < least_pages:
+                        of.add(page)
+            rows = [(host, h, page) for (host, h), of in seen.items() for page in of]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), signed([r[1] for r in rows]), signed([r[2] for r in rows])], names=["host", "hash", "page"])
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for blob, text in zip(batch.column("template").to_pylist(), batch.column("html").to_pylist(), strict=True):
+        pages, made = [], []
+        for text in batch.column("html").to_pylist():
             root = parse(text)
-            template = frozenset(np.frombuffer(blob or b"", np.int64).view(np.uint64).tolist())
-            if template:
-                hashed(root)
-            texts.append(main_text(root, template))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            hashed(root)
+            pages.append(page_key(text))
+            made.append(cut(root))
+        ends = np.cumsum([0, *(len(judged) for _, judged in made)]).astype(np.int32)
+        flat = [j for _, judged in made for j in judged]
+        lists = [pa.ListArray.from_arrays(pa.array(ends), values) for values in (signed([j[0] for j in flat]), pa.array([j[1] for j in flat], pa.int32()), pa.array([j[2] for j in flat], pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), signed(pages), pa.array([blocks for blocks, _ in made], pa.list_(pa.string())), *lists], names=["page_id", "url", "host", "page", "blocks", "hashes", "firsts", "ends"])
 
 
-def extracted(pages: DataFrame, least_pages: int = 5, least_share: float = 0.2, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every row.
-
-    A subtree of a host is template if it stands on at least least_pages of its pages and least_share of them; so a
-    host has at most (subtrees of a page) / least_share of them.  A null page is empty; a null or odd URL has the
-    empty host.  White space of any kind counts; a block without text gives no line.
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, gone = [], []
+        for template, blocks, *judged in zip(*(batch.column(c).to_pylist() for c in ("template", "blocks", "hashes", "firsts", "ends")), strict=True):
+            known = frozenset(template or ())
+            dropped = {k for h, first, end in zip(*judged, strict=True) if h in known for k in range(first, end)} if known else ()
+            texts.append("\n".join(b for k, b in enumerate(blocks) if k not in dropped))
+            gone.append(len(dropped))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(gone, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_template"])
+
+
+def extracted(pages: DataFrame, least_pages: int = 5, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """page_id, url, text, n_chars, n_template of every row.
+
+    A subtree of a host is template if it stands on at least least_pages different pages of it, however many the host
+    has; pages with equal HTML count once, so copies of an article do not make it template.  n_template: blocks that
+    recurrence alone removed.  A null page is empty; a null or odd URL has the empty host.  White space of any kind
+    counts; a block without text gives no line.
     """
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"\A[^/]*?://([^/?#]*)", 1))
     rows = rows.withColumn("host", host)
-    kind = rows.schema["page_id"].dataType.simpleString()
-    counts = written(rows.select("host", "html").mapInArrow(_hashes, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n")).where(f"n >= {least_pages} or hash is null"), "subtrees")
-    whole = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    often = counts.where("hash is not null").join(whole, "host").where(F.col("n") >= F.col("pages") * least_share)
-    template = written(often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes")).mapInArrow(_blobs, "host string, template binary"), "templates")
-    return rows.join(template, "host", "left").select("page_id", "url", "html", "template").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
-
-
-def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([np.array(h, np.int64).tobytes() for h in batch.column("hashes").to_pylist()], pa.binary())], names=["host", "template"])
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("page_id", "url")}
+    counts = rows.select("host", "html").mapInArrow(_hashes(least_pages), "host string, hash long, page long").groupBy("host", "hash").agg(F.count_distinct("page").alias("n"))
+    often = written(counts.where(F.col("n") >= least_pages).select("host", "hash"), "templates")
+    blocks = rows.mapInArrow(_cut, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, page long, blocks array<string>, hashes array<long>, firsts array<int>, ends array<int>")
+    # by subtree first, then by page: the templates of a host never meet in one row
+    found = blocks.select("host", "page", F.explode(F.array_distinct("hashes")).alias("hash")).join(often, ["host", "hash"])
+    template = written(found.groupBy("host", "page").agg(F.collect_set("hash").alias("template")), "page-templates")
+    return blocks.join(template, ["host", "page"], "left").mapInArrow(_joined, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_template long")

@@ -334,3 +334,16 @@ def test_pages(spark):
     assert got == sorted(expected)
     assert templates.extracted(pages.limit(0)).count() == 0
     assert html.unescape("&amp;") == "&"
+
+
+def test_templates_do_not_depend_on_the_size_of_the_host(spark):
+    """A notice on 5 pages goes from a host of 40 as from a host of 5; copies of one page are not template."""
+    body = "<article><h1>Head {k}</h1><p>Text {k}</p>{more}</article>"
+    notice = "<div>We moved <p>to another house</p></div>"
+    rows = [(k, "http://big.example/", body.format(k=k, more=notice if k < 5 else "<div>own</div>" if k < 9 else "")) for k in range(40)]
+    rows += [(100 + k, "http://small.example/", body.format(k=k, more=notice)) for k in range(5)]
+    rows += [(200 + k, "http://big.example/copy", "<div>Copied <div>article</div></div>") for k in range(9)]
+    got = {r.page_id: (r.text, r.n_template) for r in templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    expected = {k: (f"Head {k}\nText {k}" + ("\nown" if 5 <= k < 9 else ""), 2 if k < 5 else 0) for k in range(40)}
+    expected |= {100 + k: (f"Head {k}\nText {k}", 2) for k in range(5)} | {200 + k: ("Copied\narticle", 0) for k in range(9)}
+    assert got == expected
