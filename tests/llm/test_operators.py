@@ -347,3 +347,7 @@ def test_templates_do_not_depend_on_the_size_of_the_host(spark):
     expected = {k: (f"Head {k}\nText {k}" + ("\nown" if 5 <= k < 9 else ""), 2 if k < 5 else 0) for k in range(40)}
     expected |= {100 + k: (f"Head {k}\nText {k}", 2) for k in range(5)} | {200 + k: ("Copied\narticle", 0) for k in range(9)}
     assert got == expected
+
+
+def test_seeds_are_not_names_of_the_given_tables():
+    assert not set(urls.SEEDS) & {"casino-win", "cheap-pills", "free-bets", "adult-x", "spam-farm", "ads-track"}
