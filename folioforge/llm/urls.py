@@ -1,6 +1,7 @@
 """URL verdicts: explicit rules first, then a ratio of two character language models.
 
-Both models are variable-order Markov chains with Witten-Bell smoothing over hashed contexts, so their size is fixed.
+Both models are variable-order Markov chains with Witten-Bell smoothing.  Their counts are exact, in tables of distinct
+contexts and characters that grow with the input; URLs are scored by joins with them.
 A URL is rejected if its log-likelihood per character under the model of rejected URLs exceeds that under the model
 of accepted ones by more than a threshold, calibrated on accepted URLs that trained neither.
 """
@@ -11,13 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import mixed, text_buffer
+from .arrays import text_buffer
+from .storage import written
 
 ORDERS = 5
-CELLS = 1 << 15
+#: Bits of one byte, or of the start, in a gram; a chunk of URLs judged together has 2 ** CHUNK_BITS of them.
+DIGIT = 9
+CHUNK_BITS = 12
 BINS = 2048
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Parts of names that unwanted sites commonly have, none from the given tables; they join the rejected
@@ -46,67 +50,70 @@ def site_name(host):
     return F.regexp_replace(host, r"(?<=[^.])\.[^.]+\.[^.]+$", "")
 
 
-def _cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """For every character: its row; for each order, cells of the context and of the context with the character."""
+def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of every byte, and the byte with the ORDERS bytes before it as one number, without loss: each byte plus one
+    takes DIGIT bits, and what is before the start is zero."""
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     place = np.arange(len(data)) - offsets[rows]
-    context = np.zeros(len(data), np.uint64)
-    contexts, pairs = [], []
-    for order in range(ORDERS + 1):
-        if order:
-            before = np.concatenate([np.zeros(order, np.uint64), data[:-order].astype(np.uint64)])[: len(data)]
-            context = mixed(context + np.where(place >= order, before + np.uint64(1), np.uint64(0)) + np.uint64(order << 32))
-        contexts.append((context % np.uint64(CELLS)).astype(np.int64))
-        pairs.append((mixed(context ^ (data.astype(np.uint64) << np.uint64(48))) % np.uint64(CELLS * 4)).astype(np.int64))
-    return rows, contexts, pairs
+    gram = np.zeros(len(data), np.int64)
+    for order in range(min(ORDERS + 1, len(data))):
+        before = np.concatenate([np.zeros(order, np.int64), data[: len(data) - order].astype(np.int64) + 1])
+        gram |= np.where(place >= order, before, 0) << DIGIT * order
+    return rows, gram
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, good, bad, wanted): its uses in lessons of either kind, or one that a URL to be judged has."""
     for batch in batches:
-        wrong = np.array(batch.column("wrong").to_pylist(), bool)
-        rows, contexts, pairs = _cells(*text_buffer(batch.column("text")))
-        for order in range(ORDERS + 1):
-            key = (wrong[rows].astype(np.int64) * CELLS + contexts[order]) * CELLS * 4 + pairs[order]
-            keys, n = np.unique(key, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), order), pa.int32()), pa.array(keys), pa.array(n)], names=["order", "cell", "n"])
-
-
-class Models:
-    """The two models. total, kinds: uses and distinct followers of a context; pair: uses with the character."""
-
-    def __init__(self, order: np.ndarray, cell: np.ndarray, n: np.ndarray):
-        self.total, self.kinds = np.zeros((2, ORDERS + 1, CELLS)), np.zeros((2, ORDERS + 1, CELLS))
-        self.pair = np.zeros((2, ORDERS + 1, CELLS * 4))
-        both, pair = np.divmod(cell, CELLS * 4)
-        wrong, context = np.divmod(both, CELLS)
-        np.add.at(self.total, (wrong, order, context), n)
-        np.add.at(self.kinds, (wrong, order, context), 1)
-        np.add.at(self.pair, (wrong, order, pair), n)
-
-    def ratio(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log P(url | rejected) - log P(url | accepted), per character."""
-        rows, contexts, pairs = _cells(data, offsets)
-        logs = []
-        for model in range(2):
-            p = np.full(len(data), 1 / 256)
-            for order in range(ORDERS + 1):
-                total, kinds = self.total[model, order][contexts[order]], self.kinds[model, order][contexts[order]]
-                seen = np.minimum(self.pair[model, order][pairs[order]], total)
-                p = (seen + (kinds + (total == 0)) * p) / (total + kinds + (total == 0))
-            logs.append(np.bincount(rows, weights=np.log(p), minlength=len(offsets) - 1))
-        return (logs[1] - logs[0]) / np.maximum(1, np.diff(offsets))
-
-
-def _score(state: tuple):
-    made: list[Models] = []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Models(*state))
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule", "said")), pa.array(made[0].ratio(*text_buffer(batch.column("text"))))], names=["page_id", "host", "path", "rule", "said", "ratio"])
-
-    return run
+        rows, gram = grams(*text_buffer(batch.column("text")))
+        kind = np.array(batch.column("kind").to_pylist(), np.int64)[rows]
+        keys, n = np.unique(np.stack([gram, kind]), axis=1, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0]), *(pa.array(np.where(keys[1] == k, n, 0)) for k in range(3))], names=["gram", "good", "bad", "wanted"])
+
+
+def models(lessons: DataFrame, urls: DataFrame) -> DataFrame:
+    """(gram, value): log P(byte | rejected) - log P(byte | accepted) for every gram of urls (text).
+
+    lessons: text, wrong.  Counts are exact: a table of distinct grams for each order, which grows with the input, has
+    the uses of each gram, and a window over a context (at most 256 rows) has the context's.
+    """
+    both = lessons.select("text", F.col("wrong").cast("int").alias("kind")).unionByName(urls.select("text", F.lit(2).alias("kind")))
+    sums = [F.sum(c).alias(c) for c in ("good", "bad", "wanted")]
+    tables = [written(both.mapInArrow(_count, "gram long, good long, bad long, wanted long").groupBy("gram").agg(*sums), "grams")]
+    for order in range(ORDERS, 0, -1):
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << DIGIT * order) - 1))
+        tables.append(written(tables[-1].groupBy(shorter.alias("gram")).agg(*sums), "grams"))
+    known = None
+    for table in reversed(tables):
+        order = ORDERS - tables.index(table)
+        context = Window.partitionBy(F.shiftright("gram", DIGIT))
+        made = table.withColumns({f"{c}_{x}": f.over(context) for c in ("good", "bad") for x, f in (("all", F.sum(c)), ("kinds", F.count(F.when(F.col(c) > 0, 1))))})
+        if known is None:
+            made = made.withColumns({"p_good": F.lit(1 / 256), "p_bad": F.lit(1 / 256)})
+        else:
+            made = made.withColumn("shorter", F.col("gram").bitwiseAND(F.lit((1 << DIGIT * order) - 1))).join(known, "shorter")
+        none = lambda c: (F.col(f"{c}_all") == 0).cast("int")
+        p = lambda c: (F.col(c) + (F.col(f"{c}_kinds") + none(c)) * F.col(f"p_{c}")) / (F.col(f"{c}_all") + F.col(f"{c}_kinds") + none(c))
+        known = made.select(F.col("gram").alias("shorter"), p("good").alias("p_good"), p("bad").alias("p_bad"), "wanted")
+        known = written(known.where("wanted > 0").drop("wanted"), "chances")
+    return known.select(F.col("shorter").alias("gram"), (F.log("p_bad") - F.log("p_good")).alias("value"))
+
+
+def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (chunk, gram): a common gram is one row for a chunk of URLs."""
+    for batch in batches:
+        rows, gram = grams(*text_buffer(batch.column("text")))
+        keys = np.unique(np.stack([batch.column("chunk").to_numpy()[rows], gram]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1])], names=["chunk", "gram"])
+
+
+def _score(urls: pa.Table, values: pa.Table) -> pa.Table:
+    rows, gram = grams(*text_buffer(urls.column("text")))
+    known, first = np.unique(values.column("gram").to_numpy(), return_index=True)
+    value = values.column("value").to_numpy()[first]
+    total = np.bincount(rows, weights=value[np.searchsorted(known, gram)] if len(gram) else None, minlength=urls.num_rows)
+    size = np.bincount(rows, minlength=urls.num_rows)
+    return urls.drop_columns(["text", "chunk"]).append_column("ratio", pa.array(total / np.maximum(1, size)))
 
 
 def judged_urls(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...] = SEEDS, seed_weight: int = 5, false_rejects: float = 0.01, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
@@ -119,6 +126,8 @@ def judged_urls(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str
     """
     urls = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"))
     ruled = with_verdict_rule(urls, rules).drop("url").withColumn("text", site_name(F.col("host")))
+    # written, so that chunks stay the same; rows of a chunk stand together
+    ruled = written(ruled.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "urls")
     kind = urls.schema["page_id"].dataType.simpleString()
     kept_back = F.pmod(F.xxhash64("host"), F.lit(5)) == 0
     spark = pages.sparkSession
@@ -127,9 +136,10 @@ def judged_urls(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str
     tells = (F.col("said") == "allow") | F.col("rule").endswith("/") & (F.length("rule") - F.length(F.translate("rule", "/", "")) == 1)
     lessons = ruled.where(F.col("said").isNotNull() & tells & ~kept_back).select("host", "text", (F.col("said") == "block").alias("wrong")).distinct().drop("host")
     lessons = lessons.unionByName(planted) if planted is not None else lessons
-    table = lessons.mapInArrow(_count, "order int, cell long, n long").groupBy("order", "cell").agg(F.sum("n").alias("n")).toPandas()
-    state = tuple(table[c].to_numpy() for c in ("order", "cell", "n"))
-    scored = ruled.select("page_id", "host", "path", "rule", "said", "text").mapInArrow(_score(state), f"page_id {kind}, host string, path string, rule string, said string, ratio double")
+    known = models(lessons, ruled.where("text <> ''"))
+    needs = ruled.where("text <> ''").mapInArrow(_needs, "chunk long, gram long").distinct()
+    values = needs.join(known, "gram").select("chunk", "gram", "value")
+    scored = written(ruled.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(_score, f"page_id {kind}, host string, path string, rule string, said string, ratio double"), "scored")
     # the histogram has a fixed number of bins; a bin's upper edge is the threshold, so rounding is to the mild side
     at = F.least(F.greatest(F.floor(F.col("ratio") * 256), F.lit(-1)), F.lit(BINS)).cast("int")
     tally = {r["at"]: r["n"] for r in scored.where((F.col("said") == "allow") & kept_back).groupBy(at.alias("at")).agg(F.count("*").alias("n")).collect()}

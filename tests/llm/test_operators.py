@@ -351,3 +351,35 @@ def test_templates_do_not_depend_on_the_size_of_the_host(spark):
 
 def test_seeds_are_not_names_of_the_given_tables():
     assert not set(urls.SEEDS) & {"casino-win", "cheap-pills", "free-bets", "adult-x", "spam-farm", "ads-track"}
+
+
+def test_url_models_are_exact(spark):
+    """Ratios against Witten-Bell models with exact counts, over more contexts than any fixed number of cells."""
+    import math
+    import random
+
+    pick = random.Random(2)
+    name = lambda: "".join(pick.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(pick.randrange(1, 14)))
+    lessons = [(name(), k % 2 == 0) for k in range(6000)]
+    judged = [name() for _ in range(30)] + [lessons[0][0], "ü"]
+    counts = [collections.defaultdict(collections.Counter) for _ in range(2)]
+    before = lambda t, k, order: (bytes(1) * order + t)[k : k + order]
+    for text, wrong in lessons:
+        t = text.encode()
+        for k, order in itertools.product(range(len(t)), range(urls.ORDERS + 1)):
+            counts[wrong][order, before(t, k, order)][t[k]] += 1
+    made = urls.models(spark.createDataFrame(lessons, "text string, wrong boolean"), spark.createDataFrame([(t,) for t in judged], "text string"))
+    value = {r.gram: r.value for r in made.collect()}
+    for text in judged:
+        t = text.encode()
+        _, found = urls.grams(*urls.text_buffer(urls.pa.array([text])))
+        for k, gram in enumerate(found.tolist()):
+            logs = []
+            for model in counts:
+                p = 1 / 256
+                for order in range(urls.ORDERS + 1):
+                    of = model.get((order, before(t, k, order)), {})
+                    total, kinds = sum(of.values()), len(of)
+                    p = (of.get(t[k], 0) + (kinds or 1) * p) / (total + (kinds or 1))
+                logs.append(math.log(p))
+            assert abs(value[gram] - (logs[1] - logs[0])) < 1e-9
