@@ -21,6 +21,8 @@ from .storage import written
 ORDERS = 5
 #: Bits of one byte, or of the start, in a gram; a chunk of URLs judged together has 2 ** CHUNK_BITS of them.
 DIGIT = 9
+MASKED = 257
+BOTH = 3
 CHUNK_BITS = 12
 BINS = 2048
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,63 +32,75 @@ SEEDS = ("online-poker", "viagra-shop", "xxx-video", "fast-loans", "porn-tube",
 
 
 def with_verdict_rule(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """pages (page_id, url) with host, path, rule and, where a rule decides, its verdict."""
+    """pages (page_id, url) with host, path, text (the URL after its scheme), rule and, where a rule decides, its verdict
+    and the bytes of the text that the rule matched (masked_from, masked_to)."""
     df = pages.withColumn("url_", F.coalesce(F.col("url").cast("string"), F.lit("")))
     df = df.withColumn("rest_", F.when(F.locate("://", F.col("url_")) > 0, F.expr("substring(url_, locate('://', url_) + 3)")).otherwise(""))
     host = F.regexp_extract("rest_", r"\A[^/?#]*", 0)
     df = df.withColumn("host", F.translate(host, UPPER, LOWER)).withColumn("path", F.regexp_extract("rest_", r"\A[^/?#]*([^?#]*)", 1))
+    df = df.withColumn("text", F.concat("host", F.expr("substring(rest_, char_length(host) + 1)")))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    masked_from, masked_to = F.lit(None).cast("int"), F.lit(None).cast("int")
     # the longest rule is looked at first; of equally long ones, a block
     for text, said in sorted(rules, key=lambda r: (len(r[0]), r[1] == "block")):
         site, slash, under = text.partition("/")
         fits = ((F.col("host") == site) | F.col("host").endswith("." + site)) & F.col("path").startswith(slash + under)
         rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, said).otherwise(verdict)
-    return df.withColumn("rule", rule).withColumn("said", verdict).drop("url_", "rest_")
+        masked_from = F.when(fits, F.octet_length("host") - len(site.encode())).otherwise(masked_from)
+        masked_to = F.when(fits, F.octet_length("host") + len((slash + under).encode())).otherwise(masked_to)
+    return df.withColumns({"rule": rule, "said": verdict, "masked_from": masked_from, "masked_to": masked_to}).drop("url_", "rest_")
 
 
-def site_name(host):
-    """What the models read: the labels before the last two.  Domains and paths are left to the rules: models trained
-    on URLs that the rules decide would only learn the rules again.  A host of two labels or fewer is read whole."""
-    return F.regexp_replace(host, r"(?<=[^.])\.[^.]+\.[^.]+$", "")
-
-
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grams(data: np.ndarray, offsets: np.ndarray, masked_from: np.ndarray | None = None, masked_to: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row of every byte, and the byte with the ORDERS bytes before it as one number, without loss: each byte plus one
-    takes DIGIT bits, and what is before the start is zero."""
+    takes DIGIT bits, and what is before the start is zero.  Masked bytes have no gram, and are MASKED in others."""
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     place = np.arange(len(data)) - offsets[rows]
+    digits = data.astype(np.int64) + 1
+    if masked_from is not None:
+        digits[(place >= masked_from[rows]) & (place < masked_to[rows])] = MASKED
     gram = np.zeros(len(data), np.int64)
     for order in range(min(ORDERS + 1, len(data))):
-        before = np.concatenate([np.zeros(order, np.int64), data[: len(data) - order].astype(np.int64) + 1])
+        before = np.concatenate([np.zeros(order, np.int64), digits[: len(data) - order]])
         gram |= np.where(place >= order, before, 0) << DIGIT * order
-    return rows, gram
+    stays = digits != MASKED
+    return rows[stays], gram[stays]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, good, bad, wanted): its uses in lessons of either kind, or one that a URL to be judged has."""
     for batch in batches:
-        rows, gram = grams(*text_buffer(batch.column("text")))
-        kind = np.array(batch.column("kind").to_pylist(), np.int64)[rows]
-        keys, n = np.unique(np.stack([gram, kind]), axis=1, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[0]), *(pa.array(np.where(keys[1] == k, n, 0)) for k in range(3))], names=["gram", "good", "bad", "wanted"])
+        data, offsets = text_buffer(batch.column("text"))
+        masks = [batch.column(c).to_numpy() for c in ("masked_from", "masked_to")]
+        rows, gram = grams(data, offsets, *masks)
+        whole, every = grams(data, offsets)
+        place = np.arange(len(data)) - offsets[whole]
+        matched = (place >= masks[0][whole]) & (place < masks[1][whole])
+        kind = np.concatenate([np.array(batch.column("kind").to_pylist(), np.int64)[rows], np.full(int(matched.sum()), BOTH)])
+        keys, n = np.unique(np.stack([np.concatenate([gram, every[matched]]), kind]), axis=1, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0]), *(pa.array(np.where((keys[1] == k) | (keys[1] == BOTH) & (k < 2), n, 0)) for k in range(3))], names=["gram", "good", "bad", "wanted"])
 
 
 def models(lessons: DataFrame, urls: DataFrame) -> DataFrame:
     """(gram, value): log P(byte | rejected) - log P(byte | accepted) for every gram of urls (text).
 
-    lessons: text, wrong.  Counts are exact: a table of distinct grams for each order, which grows with the input, has
+    lessons: text, wrong, masked_from, masked_to.  What the rule matched is learned by both models alike, so that they
+    do not learn the rules again; after it, a context counts for the orders that do not reach into it.  Counts are exact: a table of distinct grams for each order, which grows with the input, has
     the uses of each gram, and a window over a context (at most 256 rows) has the context's.
     """
-    both = lessons.select("text", F.col("wrong").cast("int").alias("kind")).unionByName(urls.select("text", F.lit(2).alias("kind")))
+    masks = ("masked_from", "masked_to")
+    both = lessons.select("text", F.col("wrong").cast("int").alias("kind"), *(F.coalesce(c, F.lit(0)).alias(c) for c in masks))
+    both = both.unionByName(urls.select("text", F.lit(2).alias("kind"), *(F.lit(0).alias(c) for c in masks)))
     sums = [F.sum(c).alias(c) for c in ("good", "bad", "wanted")]
     tables = [written(both.mapInArrow(_count, "gram long, good long, bad long, wanted long").groupBy("gram").agg(*sums), "grams")]
     for order in range(ORDERS, 0, -1):
         shorter = F.col("gram").bitwiseAND(F.lit((1 << DIGIT * order) - 1))
         tables.append(written(tables[-1].groupBy(shorter.alias("gram")).agg(*sums), "grams"))
     known = None
-    for table in reversed(tables):
-        order = ORDERS - tables.index(table)
+    for order, table in enumerate(reversed(tables)):
         context = Window.partitionBy(F.shiftright("gram", DIGIT))
+        for place in range(1, order + 1):
+            table = table.where(F.shiftright("gram", DIGIT * place).bitwiseAND(F.lit((1 << DIGIT) - 1)) != MASKED)
         made = table.withColumns({f"{c}_{x}": f.over(context) for c in ("good", "bad") for x, f in (("all", F.sum(c)), ("kinds", F.count(F.when(F.col(c) > 0, 1))))})
         if known is None:
             made = made.withColumns({"p_good": F.lit(1 / 256), "p_bad": F.lit(1 / 256)})
@@ -113,7 +127,7 @@ def _score(urls: pa.Table, values: pa.Table) -> pa.Table:
     value = values.column("value").to_numpy()[first]
     total = np.bincount(rows, weights=value[np.searchsorted(known, gram)] if len(gram) else None, minlength=urls.num_rows)
     size = np.bincount(rows, minlength=urls.num_rows)
-    return urls.drop_columns(["text", "chunk"]).append_column("ratio", pa.array(total / np.maximum(1, size)))
+    return urls.select(["page_id", "host", "path", "rule", "said"]).append_column("ratio", pa.array(total / np.maximum(1, size)))
 
 
 def judged_urls(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...] = SEEDS, seed_weight: int = 5, false_rejects: float = 0.01, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
@@ -125,17 +139,15 @@ def judged_urls(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str
     Null, empty and odd URLs have an empty host and path and, with nothing to judge, are allowed.
     """
     urls = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"))
-    ruled = with_verdict_rule(urls, rules).drop("url").withColumn("text", site_name(F.col("host")))
+    ruled = with_verdict_rule(urls, rules).drop("url")
     # written, so that chunks stay the same; rows of a chunk stand together
     ruled = written(ruled.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "urls")
     kind = urls.schema["page_id"].dataType.simpleString()
     kept_back = F.pmod(F.xxhash64("host"), F.lit(5)) == 0
     spark = pages.sparkSession
     planted = spark.range(seed_weight * len(seeds)).select(F.element_at(F.array(*[F.lit(s) for s in seeds]), (F.col("id") % len(seeds) + 1).cast("int")).alias("text"), F.lit(True).alias("wrong")) if seeds else None
-    # a rule that blocks one section of a site says nothing about the site's name; each site counts once for a verdict
-    tells = (F.col("said") == "allow") | F.col("rule").endswith("/") & (F.length("rule") - F.length(F.translate("rule", "/", "")) == 1)
-    lessons = ruled.where(F.col("said").isNotNull() & tells & ~kept_back).select("host", "text", (F.col("said") == "block").alias("wrong")).distinct().drop("host")
-    lessons = lessons.unionByName(planted) if planted is not None else lessons
+    lessons = ruled.where(F.col("said").isNotNull() & ~kept_back).select("text", (F.col("said") == "block").alias("wrong"), "masked_from", "masked_to")
+    lessons = lessons.unionByName(planted, allowMissingColumns=True) if planted is not None else lessons
     known = models(lessons, ruled.where("text <> ''"))
     needs = ruled.where("text <> ''").mapInArrow(_needs, "chunk long, gram long").distinct()
     values = needs.join(known, "gram").select("chunk", "gram", "value")

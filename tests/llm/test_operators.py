@@ -368,7 +368,7 @@ def test_url_models_are_exact(spark):
         t = text.encode()
         for k, order in itertools.product(range(len(t)), range(urls.ORDERS + 1)):
             counts[wrong][order, before(t, k, order)][t[k]] += 1
-    made = urls.models(spark.createDataFrame(lessons, "text string, wrong boolean"), spark.createDataFrame([(t,) for t in judged], "text string"))
+    made = urls.models(spark.createDataFrame([(*x, 0, 0) for x in lessons], "text string, wrong boolean, masked_from int, masked_to int"), spark.createDataFrame([(t,) for t in judged], "text string"))
     value = {r.gram: r.value for r in made.collect()}
     for text in judged:
         t = text.encode()
@@ -383,3 +383,16 @@ def test_url_models_are_exact(spark):
                     p = (of.get(t[k], 0) + (kinds or 1) * p) / (total + (kinds or 1))
                 logs.append(math.log(p))
             assert abs(value[gram] - (logs[1] - logs[0])) < 1e-9
+
+
+def test_urls_are_read_whole(spark):
+    """What lies in the registered domain or the path counts; what the rule matched does not."""
+    rules = [("bad.example/", "block"), ("good.example/", "allow")]
+    rows = [(k, f"http://s{k % 90}.{'bad' if k % 2 else 'good'}.example/{'casino/free' if k % 2 else 'garden/trees'}/{k}") for k in range(400)]
+    rows += [(1000, "http://www.one.example/casino/free/7"), (1001, "http://www.one.example/garden/trees/7"), (1002, "http://www.casino-free.example/"), (1003, "http://www.garden-trees.example/")]
+    got = {r.page_id: r for r in urls.judged_urls(spark.createDataFrame(rows, "page_id long, url string"), rules, seeds=()).collect()}
+    assert [got[k].verdict for k in range(1000, 1004)] == ["block", "allow", "block", "allow"]
+    learned = spark.createDataFrame([("xab", False, 1, 2)], "text string, wrong boolean, masked_from int, masked_to int")
+    value = {r.gram: r.value for r in urls.models(learned, spark.createDataFrame([("a",), ("ab",), ("b",)], "text string")).collect()}
+    _, (a, b) = urls.grams(*urls.text_buffer(urls.pa.array(["ab"])))
+    assert value[a] > 0 > value[b]  # both learned the matched 'a', and the rejected one nothing else; only the accepted one learned 'b'
