@@ -86,12 +86,12 @@ def spans(text: str, least_bits: float = 45.0) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if "://" in text or any(h in low for h in HINTS):
-        base = sorted(found)
+        base = frozenset(found)
         for m in CONTEXT.finditer(text):
             k = 1 if m[1] is not None else 2
-            value = m[k].rstrip(".,;:)]}!?")
+            value = m[k].rstrip(".,;:)]}")
             start, end = m.start(k), m.start(k) + len(value)
-            if len(value) < 8 or any(s < end and start < e for s, e, _ in base):
+            if len(value) < 8 or any(s <= start and end <= e for s, e, _ in base):
                 continue
             mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value) or any(not c.isalnum() for c in value)
             if mixed and guess_bits(value) >= least_bits:
@@ -112,8 +112,8 @@ def _scan(least_bits: float):
 def scanned(docs: DataFrame, least_bits: float = 45.0, text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
     """struct row (the columns in carry, by default all) and found: array of (start, end, kind) in code points.
 
-    Kinds assign, access and hex are fixed patterns; guess is a value in credential context of at least least_bits,
-    outside those.  A null or empty text has none.  Rows need no shuffle.
+    Kinds assign, access and hex are fixed patterns; guess is a whole value in credential context of at least
+    least_bits, unless one of those covers all of it; it may overlap them.  A null or empty text has none.  Rows need no shuffle.
     """
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
@@ -123,7 +123,7 @@ def scanned(docs: DataFrame, least_bits: float = 45.0, text_column: str = "text"
 
 
 def redacted(docs: DataFrame, least_bits: float = 45.0, text_column: str = "text") -> DataFrame:
-    """docs with every span of the text replaced by <kind>; overlapping spans by the first of them."""
+    """docs with every span of the text replaced by <kind>; overlapping spans, together, by the first of them."""
     made = scanned(docs, least_bits, text_column)
     text = F.col(f"row.`{text_column}`")
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))

@@ -396,3 +396,14 @@ def test_urls_are_read_whole(spark):
     value = {r.gram: r.value for r in urls.models(learned, spark.createDataFrame([("a",), ("ab",), ("b",)], "text string")).collect()}
     _, (a, b) = urls.grams(*urls.text_buffer(urls.pa.array(["ab"])))
     assert value[a] > 0 > value[b]  # both learned the matched 'a', and the rejected one nothing else; only the accepted one learned 'b'
+
+
+def test_secrets_beyond_a_base_span(spark):
+    """The base pattern stops at the first symbol; the value goes on."""
+    for name in ("password", "passwd", "secret", "token", "api_key"):
+        text = f"my {name}: Tr0ub4dor&3xQ! and"
+        at = text.index("Tr0")
+        assert secrets.spans(text) == [(3, at + 9, "assign"), (at, at + 14, "guess")]
+    assert secrets.spans("password=abcdef99 ok") == [(0, 17, "assign")]
+    made = spark.createDataFrame([(1, "my password: Tr0ub4dor&3xQ! and password=abcdef99 ok")], "doc_id long, text string")
+    assert secrets.redacted(made).first().text == "my <assign> and <assign> ok"
