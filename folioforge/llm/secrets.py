@@ -19,7 +19,7 @@ ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][D
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Names before a value that may be a credential, and credentials in an address.
-CONTEXT = re.compile(r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?)["']?[ \t]*(?::=|=>|->|[:=])[ \t]*["']?([^\s"'<>]{8,128})|://[^\s/:@]{1,64}:([^\s/@]{8,128})@""", re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?)["']?[ \t]*(?::=|=>|->|[:=])[ \t]*["']?([^\s"'<>]{8,})|://[^\s/:@]+:([^\s/@]{8,})@""", re.IGNORECASE | re.ASCII)
 HINTS = ("pass", "pwd", "secret", "token", "bearer", "key", "auth", "credential")
 #: Common parts of passwords, the most common first.
 WORDS = "password the admin letmein welcome login monkey dragon master qwerty football baseball shadow sunshine princess iloveyou trustno michael superman batman hello freedom whatever charlie secret summer winter spring autumn flower love test user root pass changeme default example your key token none null true false string value here insert placeholder".split()
@@ -28,6 +28,8 @@ LEET = str.maketrans("4@301!5$7", "aaeoiisst")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 _RANK = {w: k + 1 for k, w in enumerate(WORDS)}
 _LONGEST = max(map(len, WORDS))
+#: More than a word or a date is long.
+NEAR = 12
 
 
 def _steps() -> set[str]:
@@ -44,35 +46,53 @@ def _letters(value: str) -> float:
     return math.log2(max(size, 2))
 
 
-def guess_bits(value: str) -> float:
-    """log2 of the guesses that the cheapest segmentation needs."""
+def _runs(n: int, joined) -> tuple[list[int], list[int]]:
+    """First place and end of the longest run around every place; joined(k): whether k - 1 and k are in one."""
+    first, end = list(range(n)), list(range(1, n + 1))
+    for k in range(1, n):
+        if joined(k):
+            first[k] = first[k - 1]
+    for k in reversed(range(n - 1)):
+        if first[k + 1] == first[k]:
+            end[k] = end[k + 1]
+    return first, end
+
+
+def guess_bits(value: str, enough: float = math.inf) -> float:
+    """log2 of the guesses that the cheapest segmentation needs; stops with a lower bound that is at least enough.
+
+    A repeat or walk is worth no break inside: two of them cost more than one, and so does anything between them.  So
+    it begins within NEAR places of its longest run's start and ends within NEAR of that run's end, where a word or a
+    date may reach into it, and the steps are linear in the length.
+    """
     n, low = len(value), value.lower()
+    if len(low) != n:  # a few letters have two in lower case
+        low = "".join(c.lower()[0] for c in value)
     plain, bits = low.translate(LEET), _letters(value)
     best = [0.0] + [math.inf] * n
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if m := DATE.match(value, i):
-            dates.setdefault(i, []).append(m.end())
+    same = _runs(n, lambda k: value[k] == value[k - 1])
+    walk = _runs(n, lambda k: low[k - 1 : k + 1] in _STEPS)
+    reach = 1
     for i in range(n):
         here = best[i]
+        if i % 32 == 0 and reach - i <= 64 and min(best[i : reach + 1]) >= enough:
+            return min(best[i : reach + 1])  # every segmentation passes one of these places
         best[i + 1] = min(best[i + 1], here + bits)
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             rank = _RANK.get(low[i:j]) or _RANK.get(plain[i:j])
             if rank:
                 turned = 1.0 * (value[i:j] != low[i:j]) + 1.0 * (low[i:j] not in _RANK)
                 best[j] = min(best[j], here + 1 + math.log2(rank + 1) + turned)
-        for j in dates.get(i, ()):
-            best[j] = min(best[j], here + 1 + math.log2(366 * 120))
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-            if j - i >= 3:
-                best[j] = min(best[j], here + bits + math.log2(j - i))
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in _STEPS:
-            j += 1
-            if j - i >= 3:
-                best[j] = min(best[j], here + 6 + math.log2(j - i))
+                reach = max(reach, j)
+        if m := DATE.match(value, i):
+            best[m.end()] = min(best[m.end()], here + 1 + math.log2(366 * 120))
+            reach = max(reach, m.end())
+        for (first, end), cost in ((same, bits), (walk, 6)):
+            if i - first[i] <= NEAR and end[i] - i >= 3:
+                for j in range(max(i + 3, end[i] - NEAR), end[i] + 1):
+                    best[j] = min(best[j], here + cost + math.log2(j - i))
+                reach = max(reach, end[i])
+        reach = max(reach, i + 2)
     return best[n]
 
 
@@ -93,8 +113,7 @@ def spans(text: str, least_bits: float = 45.0) -> list[tuple[int, int, str]]:
             start, end = m.start(k), m.start(k) + len(value)
             if len(value) < 8 or any(s <= start and end <= e for s, e, _ in base):
                 continue
-            mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value) or any(not c.isalnum() for c in value)
-            if mixed and guess_bits(value) >= least_bits:
+            if guess_bits(value, least_bits) >= least_bits:
                 found.append((start, end, "guess"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 

@@ -407,3 +407,46 @@ def test_secrets_beyond_a_base_span(spark):
     assert secrets.spans("password=abcdef99 ok") == [(0, 17, "assign")]
     made = spark.createDataFrame([(1, "my password: Tr0ub4dor&3xQ! and password=abcdef99 ok")], "doc_id long, text string")
     assert secrets.redacted(made).first().text == "my <assign> and <assign> ok"
+
+
+def test_secrets_have_no_upper_length_and_no_other_filter():
+    import random
+
+    pick = random.Random(3)
+    noise = lambda n: "".join(pick.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNP23456789#%+") for _ in range(n))
+    assert secrets.spans("pwd=" + (long := noise(200)) + " and") == [(4, 4 + len(long), "guess")]
+    assert secrets.spans(f"db://{'u' * 70}:{(p := noise(150))}@host") == [(76, 76 + len(p), "guess")]
+    assert secrets.spans("pwd: qZxWvKjTrLmNbHgP") == [(5, 21, "guess")]
+    assert secrets.spans("pwd=" + "z" * 50_000) == [] and secrets.spans("pwd=" + "qwe" + "as" * 50_000) == []
+    assert secrets.spans("pwd=" + noise(300_000))[0][2] == "guess"
+
+
+def test_guess_cost_of_long_runs_is_that_of_all_segmentations():
+    import math
+    import random
+
+    def brute(value):
+        low, bits = value.lower(), secrets._letters(value)
+        best = [0.0] + [math.inf] * len(value)
+        for i, j in itertools.combinations(range(len(value) + 1), 2):
+            part, costs = value[i:j], []
+            if j - i == 1:
+                costs.append(bits)
+            plain = low[i:j].translate(secrets.LEET)
+            if j - i >= 3 and (rank := secrets._RANK.get(low[i:j]) or secrets._RANK.get(plain)):
+                costs.append(1 + math.log2(rank + 1) + (part != low[i:j]) + (low[i:j] not in secrets._RANK))
+            if (m := secrets.DATE.match(value, i)) and m.end() == j:
+                costs.append(1 + math.log2(366 * 120))
+            if j - i >= 3 and len(set(part)) == 1:
+                costs.append(bits + math.log2(j - i))
+            if j - i >= 3 and all(low[k - 1 : k + 1] in secrets._STEPS for k in range(i + 1, j)):
+                costs.append(6 + math.log2(j - i))
+            best[j] = min([best[j], *(best[i] + c for c in costs)])
+        return best[-1]
+
+    pick = random.Random(6)
+    parts = ["a" * 40, "1" * 30, "asasasas" * 4, "qwertytrew", "admin", "Pass", "p455", "2020-01-02", "121212" * 5, "x", "&", "poiuytrewq", "2" * 9]
+    for _ in range(300):
+        value = "".join(pick.choice(parts) for _ in range(pick.randrange(1, 6)))
+        assert abs(secrets.guess_bits(value) - brute(value)) < 1e-9, value
+        assert (secrets.guess_bits(value, 45) >= 45) == (brute(value) >= 45)
