@@ -17,11 +17,18 @@ from pyspark.sql import functions as F
 
 from .arrays import mixed, slices, span_hashes, text_buffer
 from .bpe import LETTER, classes, code_points
+from .storage import written
 
 BUCKETS = 1 << 16
 BLOCK = 64
 #: Bytes of text labelled at once; a chunk takes some hundred times as much memory.
 CHUNK = 3 << 19
+#: Languages whose counts a task holds before it sends them on.
+HELD = 64
+#: With more languages the dynamic program goes word by word: in blocks its memory grows with their square.
+FEW = 16
+#: Words times languages that are scored at once then.
+PART = 1 << 20
 #: First code point of each script range; what lies between is named by the last one at or below it.
 SCRIPTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0xF00, "other"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other")]
 NAMES = sorted({n for _, n in SCRIPTS})
@@ -71,17 +78,27 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _count(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), 2 * BUCKETS + len(NAMES)), np.int64)
+        total: dict[int, np.ndarray] = {}
         number = {x: k for k, x in enumerate(languages)}
+
+        def counted() -> pa.RecordBatch:
+            found = [(k, np.flatnonzero(t)) for k, t in total.items()]
+            lang = np.concatenate([np.zeros(0, np.int32), *(np.full(len(cell), k, np.int32) for k, cell in found)])
+            cells = np.concatenate([np.zeros(0, np.int32), *(cell.astype(np.int32) for _, cell in found)])
+            n = np.concatenate([np.zeros(0, np.int64), *(total[k][cell] for k, cell in found)])
+            total.clear()
+            return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(cells), pa.array(n)], names=["lang", "cell", "n"])
+
         for batch in batches:
             for part in slices(batch, most=CHUNK):
                 lang = np.array([number[x] for x in part.column("lang").to_pylist()])
                 row, size, script, word, of, gram = features(*text_buffer(part.column("text")))
                 for k in np.unique(lang[row]).tolist():
                     mine = lang[row] == k
-                    total[k] += np.bincount(np.concatenate([gram[mine[of]], BUCKETS + word[mine], 2 * BUCKETS + np.repeat(script[mine], size[mine])]), minlength=total.shape[1])
-        lang, cell = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(total[lang, cell])], names=["lang", "cell", "n"])
+                    total[k] = total.get(k, 0) + np.bincount(np.concatenate([gram[mine[of]], BUCKETS + word[mine], 2 * BUCKETS + np.repeat(script[mine], size[mine])]), minlength=2 * BUCKETS + len(NAMES))
+                    if len(total) >= HELD:
+                        yield counted()
+        yield counted()
 
     return run
 
@@ -97,6 +114,17 @@ class Model:
         self.allowed = letters > 0.001 * np.maximum(1, letters.sum(axis=0))
 
     def scores(self, size, script, word, of, gram) -> np.ndarray:
+        many = len(self.languages)
+        if many > FEW and len(size) * many > PART:  # in parts, since every trigram has a row of scores
+            step, ends = max(1, PART // many), np.concatenate([[0], np.cumsum(size)])
+            out = np.empty((len(size), many), np.float32)
+            for a in range(0, len(size), step):
+                b = min(len(size), a + step)
+                out[a:b] = self._scores(size[a:b], script[a:b], word[a:b], gram[ends[a] : ends[b]])
+            return out
+        return self._scores(size, script, word, gram)
+
+    def _scores(self, size, script, word, gram) -> np.ndarray:
         starts = np.concatenate([[0], np.cumsum(size)[:-1]])
         table = 0.5 * np.add.reduceat(self.grams[gram], starts, axis=0) + self.words[word] * 0.5
         allowed = self.allowed[script]
@@ -106,6 +134,8 @@ class Model:
     def path(self, row: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
         """The best label of every word."""
         many = len(self.languages)
+        if many > FEW:
+            return self.path_by_word(row, scores, n)
         count = np.bincount(row, minlength=n)
         blocks = -(-count // BLOCK)
         first_block = np.concatenate([[0], np.cumsum(blocks)])
@@ -153,6 +183,30 @@ class Model:
         return labels[at, block].astype(np.int64)
 
 
+    def path_by_word(self, row: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
+        """The same for any number of languages: all texts go on by one word at a time."""
+        many = len(self.languages)
+        count = np.bincount(row, minlength=n)
+        first = np.concatenate([[0], np.cumsum(count)])
+        order = np.argsort(-count, kind="stable")
+        longer = np.searchsorted(-count[order], -np.arange(int(count.max()) if n else 0), "left")  # texts of more than t words
+        value, stay, best = np.zeros((n, many)), np.empty((len(row), many), bool), np.empty(len(row), np.int32)
+        for t, m in enumerate(longer.tolist()):
+            rows = order[:m]
+            at, now = first[rows] + t, value[rows]
+            best[at] = now.argmax(axis=1)
+            top = now.max(axis=1, keepdims=True) - self.penalty
+            stay[at] = now >= top
+            value[rows] = np.maximum(now, top) + scores[at]
+        labels, label = np.empty(len(row), np.int64), value.argmax(axis=1)
+        for t in reversed(range(len(longer))):
+            rows = order[: longer[t]]
+            at = first[rows] + t
+            labels[at] = label[rows]
+            label[rows] = np.where(stay[at, label[rows]], label[rows], best[at])
+        return labels
+
+
 def _label(model_state: tuple, with_spans: bool):
     made: list[Model] = []
 
@@ -163,7 +217,7 @@ def _label(model_state: tuple, with_spans: bool):
         many = len(model.languages)
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
-            for part in slices(batch, most=CHUNK):
+            for part in slices(batch, most=CHUNK * FEW // max(many, FEW)):
                 n = part.num_rows
                 row, size, script, word, of, gram = features(*text_buffer(part.column("text")))
                 pred, score = np.full(n, many), np.zeros(n)
@@ -192,24 +246,24 @@ def _label(model_state: tuple, with_spans: bool):
     return run
 
 
-def trained(docs: DataFrame, sample: int = 4000, penalty: float = 12.0, languages: int = 64, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id") -> tuple:
+def trained(docs: DataFrame, sample: int = 4000, penalty: float = 12.0, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id") -> tuple:
     """A model from docs, which must hold training rows only.
 
-    Fitted on about `sample` rows of each of the `languages` languages with the most rows (chosen by a hash of the id),
-    so what the driver holds is bounded: 2 * 65536 counts for each language.
+    Fitted on about `sample` rows of each language that occurs (chosen by a hash of the id), so what the driver and a
+    task hold is bounded for each language: 2 * 65536 counts.
     """
     rows = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-    sizes = rows.groupBy(lang_column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_column).limit(languages).collect()
-    known = sorted(r[0] for r in sizes)
+    rows = rows.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(F.col(id_column).cast("string")).alias("draw"))
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    known = sorted(r["lang"] for r in sizes.collect())
     if not known:
         return known, np.zeros((0, 2 * BUCKETS + len(NAMES))), penalty
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(1.0, sample / r[1]))])
-    lucky = F.pmod(F.xxhash64(F.col(id_column).cast("string")), F.lit(1 << 30)) < F.try_element_at(share, F.col(lang_column)) * (1 << 30)
-    some = rows.where(lucky).select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
-    counts = np.zeros((len(known), 2 * BUCKETS + len(NAMES)))
+    lucky = F.pmod("draw", F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(sample) / F.col("rows")) * (1 << 30)
+    some = rows.join(F.broadcast(sizes), "lang").where(lucky).select("lang", "text")
+    counts = np.zeros((len(known), 2 * BUCKETS + len(NAMES)), np.float32)
     table = some.mapInArrow(_count(known), "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     counts[table["lang"], table["cell"]] = table["n"]
-    return known, counts.astype(np.float32), penalty
+    return known, counts, penalty
 
 
 def labelled(docs: DataFrame, model: tuple, carry: list[str] | None = None, spans: bool = False, text_column: str = "text") -> DataFrame:

@@ -99,9 +99,10 @@ def upper_bound_holds(rejected: int, n: int, limit: float, level: float) -> bool
     return rejected < n * limit and binomial_cdf(rejected, n, limit) <= level
 
 
-def cutoffs(histogram: dict[tuple[str, int], dict[int, int]], sizes: dict[str, int], limit: float, level: float) -> dict[tuple[str, int], int]:
-    """(stratum, rule) -> lowest bin that may be rejected. histogram: good texts per bin; sizes: good texts."""
-    families = max(1, len(sizes) * len(RULES))
+def cutoffs(histogram: dict[tuple[str, int], dict[int, int]], sizes: dict[str, int], limit: float, level: float, strata: int | None = None) -> dict[tuple[str, int], int]:
+    """(stratum, rule) -> lowest bin that may be rejected. histogram: good texts per bin; sizes: good texts;
+    strata: how many there are in all, where sizes has only some."""
+    families = max(1, (strata or len(sizes)) * len(RULES))
     chosen = {}
     for stratum, n in sizes.items():
         for rule in range(len(RULES)):
@@ -114,12 +115,27 @@ def cutoffs(histogram: dict[tuple[str, int], dict[int, int]], sizes: dict[str, i
     return chosen
 
 
-def judged(docs: DataFrame, labels: DataFrame, limit: float = 0.05, level: float = 0.05, strata: int = 256, id_column: str = "doc_id", text_column: str = "text", stratum_column: str = "lang") -> DataFrame:
+def _cutoffs(strata: int, limit: float, level: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, rows = batch.column("stratum").to_pylist(), []
+            for name, n, bins in zip(names, batch.column("n").to_pylist(), batch.column("bins").to_pylist(), strict=True):
+                histogram: dict[tuple[str, int], dict[int, int]] = {}
+                for x in bins:
+                    histogram.setdefault((name, x["rule"]), {})[x["bin"]] = x["n"]
+                chosen = cutoffs(histogram, {name: n}, limit, level, strata)
+                rows.append([chosen.get((name, k), BINS) for k in range(len(RULES))])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(rows, pa.list_(pa.int32()))], names=["stratum", "least"])
+
+    return run
+
+
+def judged(docs: DataFrame, labels: DataFrame, limit: float = 0.05, level: float = 0.05, id_column: str = "doc_id", text_column: str = "text", stratum_column: str = "lang") -> DataFrame:
     """doc_id, the counts, base_failed, kept of every row.
 
     labels: doc_id and quality (1 good). limit: the rate of good texts of a stratum that the learned rules may reject,
-    with probability 1 - level for all strata at once.  A stratum with too few labels, or outside the `strata` with the
-    most labels, gets no learned rule.  A null text has no words; a null stratum is one of its own; a document labelled
+    with probability 1 - level for all strata at once.  A stratum with too few labels gets no learned rule.
+    A null text has no words; a null stratum is one of its own; a document labelled
     twice counts as good if any label says so.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(stratum_column).cast("string"), F.lit("")).alias("stratum"))
@@ -130,16 +146,15 @@ def judged(docs: DataFrame, labels: DataFrame, limit: float = 0.05, level: float
     bins = [F.least(F.floor(s * BINS), F.lit(BINS - 1)).cast("int") for s in signals]
     good = labels.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = counts.join(good, "doc_id").select("stratum", F.array(*bins).alias("bins"))
-    sizes = {r["stratum"]: r["n"] for r in held.groupBy("stratum").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "stratum").limit(strata).collect()}
-    table = held.where(F.col("stratum").isin(list(sizes))).select("stratum", F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "rule", "bin").agg(F.count("*").alias("n")).collect()
-    histogram: dict[tuple[str, int], dict[int, int]] = {}
-    for r in table:
-        histogram.setdefault((r["stratum"], r["rule"]), {})[r["bin"]] = r["n"]
-    chosen = cutoffs(histogram, sizes, limit, level)
+    table = written(held.select("stratum", F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "rule", "bin").agg(F.count("*").alias("n")), "histograms")
+    # every text has one bin for each rule; at most BINS bins and rules meet in one row
+    lists = table.groupBy("stratum").agg(F.sum(F.when(F.col("rule") == 0, F.col("n"))).alias("n"), F.collect_list(F.struct("rule", "bin", "n")).alias("bins"))
+    strata = table.select("stratum").distinct().count()
+    least = written(lists.mapInArrow(_cutoffs(strata, limit, level), "stratum string, least array<int>"), "cutoffs")
+    counts = counts.join(least, "stratum", "left")
     verdict = F.lit(False)
     for k in range(len(RULES)):
-        pairs = [F.lit(x) for (s, rule), at in chosen.items() if rule == k for x in (s, at)]
-        if pairs:
-            verdict = verdict | F.coalesce(bins[k] >= F.try_element_at(F.create_map(*pairs), F.col("stratum")), F.lit(False))
+        # the last bin may be a cutoff, BINS is none
+        verdict = verdict | F.coalesce(bins[k] >= F.col("least")[k], F.lit(False))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counts.select("doc_id", *COLUMNS[:5], base.alias("base_failed"), (~base & ~verdict).alias("kept"))

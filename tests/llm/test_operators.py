@@ -450,3 +450,36 @@ def test_guess_cost_of_long_runs_is_that_of_all_segmentations():
         value = "".join(pick.choice(parts) for _ in range(pick.randrange(1, 6)))
         assert abs(secrets.guess_bits(value) - brute(value)) < 1e-9, value
         assert (secrets.guess_bits(value, 45) >= 45) == (brute(value) >= 45)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than 64, and than a signed byte has numbers."""
+    import random
+
+    pick = random.Random(4)
+    words = {f"l{k:03}": ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(150)}
+    rows = [(k, " ".join(pick.choice(words[x]) for _ in range(30)), x, None, None) for k, x in enumerate([*words] * 2)]
+    train = spark.createDataFrame(rows, SCHEMA)
+    made = langid.labelled(train, langid.trained(train), carry=["lang"]).collect()
+    assert len(made) == 300 and all(r.row.lang == r.lang_pred for r in made)
+
+
+def test_labels_word_by_word_equal_those_over_blocks():
+    import numpy as np
+
+    pick = np.random.default_rng(1)
+    model = langid.Model(["a", "b", "c"], np.ones((3, 2 * langid.BUCKETS + len(langid.NAMES))), 3.0)
+    sizes = [0, 1, 63, 64, 65, 200, 0]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    scores = -pick.exponential(2.0, (len(row), 3)).astype(np.float32)
+    assert (model.path(row, scores, len(sizes)) == model.path_by_word(row, scores, len(sizes))).all()
+
+
+def test_every_stratum_has_cutoffs(spark):
+    """The stratum with the fewest labels of 301 has enough of them, and none of its good texts has a symbol."""
+    words = lambda x: " ".join(f"{x}w{k}" for k in range(60))
+    rows = [(k, "x", f"s{k % 300}") for k in range(300 * 110)] + [(100_000 + k, words(k), "last") for k in range(105)]
+    docs = spark.createDataFrame([*rows, (200_000, "# " * 30 + words("x"), "last")], "doc_id long, text string, lang string")
+    labels = docs.where("doc_id < 200000").selectExpr("doc_id", "1 as quality")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judged(docs, labels, limit=0.5).where("doc_id >= 100000").collect()}
+    assert got.pop(200_000) == (False, False) and set(got.values()) == {(False, True)} and len(got) == 105
