@@ -26,8 +26,6 @@ from .bpe import encoder, lowered
 from .storage import written
 
 SHARE_BITS = 28
-#: A queue of its own needs this share of the tokens; smaller sources stand behind one another in one queue.
-LEAST_SHARE = 1 / 1024
 
 
 @dataclass
@@ -187,10 +185,11 @@ def packed(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shar
     """Pieces of documents: doc_id, start, length, ids (or with digest ids_crc32), doc_tokens, sequence_id, offset, source.
 
     Each document is its ids and end_id; each id lies in exactly one piece; sequences have `window` ids, or a smaller
-    power of two at the very end, without padding.  shares: target proportion of each source named (at least 1/1024
-    each); what they leave goes to all other sources together.  By default the proportions are those of the corpus.
+    power of two at the very end, without padding.  shares: target proportion of each source named; what they
+    leave goes to all other sources in the proportions of the corpus, as by default all of it does.  Every source is a
+    queue of its own.
     A null text is empty and gives the end id alone; a null source counts as one source of that kind; an empty table
-    gives no piece.  The driver holds the sources of at least 1/1024 of the tokens, at most 1024, and the totals.
+    gives no piece.  The driver and the tasks hold the schedule, a few numbers for each source.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
@@ -200,27 +199,15 @@ def packed(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shar
     kind = rows.schema["doc_id"].dataType.simpleString()
     tokens = written(rows.mapInArrow(_tokens(path, end_id, wide), f"doc_id {kind}, source string, part int, place long, doc_tokens long, ids binary"), "tokens")
     parts = written(tokens.groupBy("source", "part").agg(F.sum("doc_tokens").alias("n")), "parts")
-    whole = parts.agg(F.sum("n")).first()[0] or 0
-    totals = parts.groupBy("source").agg(F.sum("n").alias("n"))
-    if shares is None:
-        own = {r["source"]: r["n"] for r in totals.where(F.col("n") >= whole * LEAST_SHARE).orderBy(F.desc("n"), "source").collect()}
-        targets = [n / max(1, whole) for n in own.values()]
-    else:
-        if any(v < LEAST_SHARE for v in shares.values()):
-            raise ValueError("each share named must be at least 1/1024")
-        found = {r["source"]: r["n"] for r in totals.where(F.col("source").isin(list(shares))).collect()}
-        own = {s: found.get(s, 0) for s in shares}
-        targets = list(shares.values())
-    rest = whole - sum(own.values())
-    if shares is None and own and 0 < rest < whole * LEAST_SHARE:  # too small a queue: the smallest named one joins it
-        source, n = own.popitem()
-        rest, targets = rest + n, targets[:-1]
-    queues = {source: k for k, source in enumerate(own)}
-    targets.append(max(0.0, 1 - sum(targets)) if rest else 0.0)
-    plan = schedule([*own.values(), rest], targets, window)
-    queue = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in queues.items() for x in kv]), F.col("source")), F.lit(len(queues))) if queues else F.lit(len(queues))
+    totals = [(r["source"], r["n"]) for r in parts.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").collect()]
+    named = shares or {}
+    rest = sum(n for source, n in totals if source not in named)
+    left = max(0.0, 1 - sum(named.values()))
+    targets = [named[source] if source in named else left * n / rest for source, n in totals]
+    plan = schedule([n for _, n in totals], targets, window)
+    queues = docs.sparkSession.createDataFrame([(source, k) for k, (source, _) in enumerate(totals)], "source string, queue int")
     order = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    placed = written(parts.withColumn("queue", queue.cast("int")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n"), "places")
+    placed = written(parts.join(F.broadcast(queues), "source").withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n"), "places")
     rows = tokens.join(placed, ["source", "part"]).select("doc_id", "source", "queue", (F.col("place") + F.col("before")).alias("place"), "doc_tokens", "ids")
     last = "ids_crc32 long" if digest else "ids binary"
     return rows.mapInArrow(_pieces(plan, wide, digest), f"doc_id {kind}, start long, length long, {last}, doc_tokens long, sequence_id long, offset long, source string")

@@ -483,3 +483,12 @@ def test_every_stratum_has_cutoffs(spark):
     labels = docs.where("doc_id < 200000").selectExpr("doc_id", "1 as quality")
     got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judged(docs, labels, limit=0.5).where("doc_id >= 100000").collect()}
     assert got.pop(200_000) == (False, False) and set(got.values()) == {(False, True)} and len(got) == 105
+
+
+def test_packing_mixes_many_small_sources(spark):
+    """None of 1500 sources has 1/1024 of the tokens; every window still holds each one's share."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('a word ', 50) as text", "concat('s', id % 1500) as source")
+    made = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), window=8192, digest=True)
+    got = made.groupBy("sequence_id", "source").agg(F.sum("length").alias("n")).groupBy("sequence_id").agg(F.count("*").alias("sources"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("n")).where("n = 8192").collect()
+    first = [r for r in got if r.sequence_id < len(got) - 1]
+    assert len(first) >= 30 and all(r.sources == 1500 and r.least >= 4 and r.most <= 7 for r in first)  # 5.46 each, running sums to within a token
