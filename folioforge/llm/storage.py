@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set (tests), a new local one that is then set."""
+    """The cluster's checkpoint folder; where none is set a local session gets a temporary one, and a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="folioforge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -23,7 +28,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _paths[made] = path
+    release(spark)
+    return made
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect what nothing refers to: Spark then deletes the shuffle files of finished steps, which
+    would stay on the executors' disks until the driver's memory happened to fill."""
+    spark._jvm.System.gc()
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by written() that nothing reads any more."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path is not None:
+            drop_path(df.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
