@@ -4,9 +4,9 @@ The global order of n-grams is the order of their hashes, cut into fragments.  S
 similarity reaches the threshold differ in at most d n-grams; cut into more than d fragments, they agree on whole
 fragments, so documents meet where a fragment of one has the same content as that of the other.  Documents that meet
 are kept together only if their counts per coarse fragment leave room for the required overlap (the counts' L1
-distance is a lower bound of the difference).  Within each group that remains, overlaps are counted fragment by
-fragment and summed per pair, all pairs at once as products of 0/1 matrices; large groups are cut into pairs of blocks,
-whose sets are dealt once, and then travel to each pair with their common n-grams listed once.
+distance is a lower bound of the difference).  The sets of each group that remains are cut into fragments of the
+order, and a task has one fragment of one pair of blocks of a group: it counts partial overlaps of all its pairs as
+products of 0/1 matrices and sends those that may still reach the threshold; another step sums them per pair and decides.
 
 Equal sets are one class throughout, so copies cost one row; no step lists all pairs of a group as rows.
 """
@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from .arrays import Words, bucketed, grouped_cells, mixed, slices, span_hashes, text_buffer, unique_per_row, window_hashes
 from .components import components, forest
-from .storage import shuffle_buckets, written
+from .storage import depends, drop, shuffle_buckets, written
 
 COARSE = 6
 BLOCK = 1024
 PARTS = 4
 COLUMNS = 4096
+#: n-grams of a pair of blocks that a task compares at once: a group has as many fragments as that takes.
+VOLUME = 1 << 19
 
 
 class Threshold:
@@ -100,7 +102,7 @@ def _outlines(size: int):
                 at = np.concatenate([[0], np.cumsum(1 << bits)])
                 cell = (keys >> (64 - bits[rows]).astype(np.uint64)).astype(np.int64)
                 outline = np.minimum(np.bincount(at[rows] + cell, minlength=at[-1]), 65535).astype("<u2")
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), pa.array(print_), pa.array([outline[at[k] : at[k + 1]].tobytes() for k in range(n)], pa.binary())], names=["doc_id", "n", "print", "outline"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(count, pa.int64()), pa.array(print_), pa.array([outline[at[k] : at[k + 1]].tobytes() for k in range(n)], pa.binary())], names=["doc_id", "text_hash", "n", "print", "outline"])
 
     return run
 
@@ -277,22 +279,26 @@ def _close(percent: int):
 
 
 def _sets(size: int):
+    """Sets of class representatives, a row for each fragment of the order in which they have an n-gram."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = ("grp", "part", "blocks", "print", "copies", "n")
         for batch in batches:
             for part in slices(batch):
                 rows, keys = shingle_sets(*text_buffer(part.column("text")), size)
-                _, print_ = fingerprints(rows, keys, part.num_rows)
-                first = np.searchsorted(rows, np.arange(part.num_rows + 1)).tolist()
-                keep = np.flatnonzero(print_ == part.column("print").to_numpy(zero_copy_only=False))
-                taken = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([part.column(c).take(taken) for c in ("grp", "part", "blocks", "print", "copies")] + [pa.array([keys[first[k] : first[k + 1]].tobytes() for k in keep.tolist()], pa.binary())], names=["grp", "part", "blocks", "print", "copies", "grams"])
+                fragments = part.column("fragments").to_numpy()
+                fragment = ((keys >> np.uint64(32)) * fragments[rows].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+                start = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (fragment[1:] != fragment[:-1])])) if len(rows) else rows
+                end = np.append(start[1:], len(rows))
+                taken, raw = pa.array(rows[start]), keys.tobytes()
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(taken) for c in carried), pa.array(fragment[start], pa.int32()), pa.array([raw[8 * i : 8 * j] for i, j in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())], names=[*carried, "fragment", "grams"])
 
     return run
 
 
-def packed_sets(prints: np.ndarray, copies: np.ndarray, sets: list[np.ndarray]) -> bytes:
+def packed_sets(about: np.ndarray, sets: list[np.ndarray]) -> bytes:
     """Sets that have much in common, compressed: their n-grams once, the most frequent first, and each set as the
-    steps between the places of its n-grams in that list."""
+    steps between the places of its n-grams in that list.  about: (sets, 3) integers that go along."""
     size = np.array([len(s) for s in sets], np.int64)
     values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.argsort(-count, kind="stable")
@@ -304,37 +310,46 @@ def packed_sets(prints: np.ndarray, copies: np.ndarray, sets: list[np.ndarray])
     step = np.diff(place, prepend=0)
     starts = np.cumsum(size) - size
     step[starts] = place[starts]
-    raw = b"".join([np.array([len(sets), len(values)], np.int64).tobytes(), prints.astype(np.int64).tobytes(), copies.astype(np.int64).tobytes(), size.tobytes(), values[order].tobytes(), step.astype("<u4").tobytes()])
+    return squeezed(np.array([len(sets), len(values)], np.int64), about.astype(np.int64), size, values[order], step.astype("<u4"))
+
+
+def squeezed(*arrays: np.ndarray) -> bytes:
+    raw = b"".join(a.tobytes() for a in arrays)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def unpacked_sets(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Prints, copies, sizes, and the n-grams of the sets one after another."""
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+def expanded(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+
+
+def unpacked_sets(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What went along, sizes, and the n-grams of the sets one after another."""
+    raw = expanded(blob)
     n, distinct = np.frombuffer(raw, np.int64, 2).tolist()
-    prints, copies, size = (np.frombuffer(raw, np.int64, n, 16 + 8 * n * k) for k in range(3))
-    values = np.frombuffer(raw, np.uint64, distinct, 16 + 24 * n)
-    step = np.frombuffer(raw, "<u4", -1, 16 + 24 * n + 8 * distinct).astype(np.int64)
+    about, size = np.frombuffer(raw, np.int64, 3 * n, 16).reshape(n, 3), np.frombuffer(raw, np.int64, n, 16 + 24 * n)
+    values = np.frombuffer(raw, np.uint64, distinct, 16 + 32 * n)
+    step = np.frombuffer(raw, "<u4", -1, 16 + 32 * n + 8 * distinct).astype(np.int64)
     total = np.cumsum(step)
     starts = np.cumsum(size) - size
-    return prints, copies, size, values[total - np.repeat(total[starts] - step[starts], size)]
+    return about, size, values[total - np.repeat(total[starts] - step[starts], size)]
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A part of a block as one row for each pair of blocks that it takes part in."""
-    kinds = {"grp": pa.int64(), "low": pa.int32(), "high": pa.int32(), "block": pa.int32(), "packed": pa.binary()}
+    """A fragment of a part of a block as one row for each pair of blocks that it takes part in."""
+    kinds = {"grp": pa.int64(), "fragment": pa.int32(), "low": pa.int32(), "high": pa.int32(), "block": pa.int32(), "packed": pa.binary()}
     out: list[tuple] = []
     held = 0
 
     def made() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
 
-    for (grp, part), (blocks, prints, copies, blobs) in _keyed(batches, ["grp", "part"], ["blocks", "print", "copies", "grams"]):
+    for (grp, fragment, part), (blocks, prints, copies, sizes, blobs) in _keyed(batches, ["grp", "fragment", "part"], ["blocks", "print", "copies", "n", "grams"]):
         rows = list({x: k for k, x in enumerate(prints)}.values())
-        blob = packed_sets(np.array(prints)[rows], np.array(copies)[rows], [np.frombuffer(blobs[k], np.uint64) for k in rows])
+        about = np.column_stack([prints, copies, sizes])[rows]
+        blob = packed_sets(about, [np.frombuffer(blobs[k], np.uint64) for k in rows])
         block = part // PARTS
         for other in range(blocks[0]):
-            out.append((grp, min(block, other), max(block, other), block, blob))
+            out.append((grp, fragment, min(block, other), max(block, other), block, blob))
             held += len(blob) + 100
             if held > 4 << 20:
                 yield made()
@@ -343,7 +358,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def overlaps(first: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Overlap of every two sets: products of 0/1 matrices, one for each fragment of the order, summed per pair."""
+    """Overlap of every two sets: products of 0/1 matrices, one for each step through the order, summed per pair."""
     values, column, count = np.unique(grams, return_inverse=True, return_counts=True)
     rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
     shared = count[column] > 1
@@ -360,71 +375,119 @@ def overlaps(first: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return sums.astype(np.int64)
 
 
-def _links(percent: int):
+def _partial(percent: int):
+    """Partial overlaps of the pairs of a fragment.  A pair stays out if its sizes, or its difference in this fragment
+    alone, already exclude a link: then it has too small a sum, or none."""
     limit = Threshold(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int | None, int]] = []
-        for (_, low, high), (blocks, blobs) in _keyed(batches, ["grp", "low", "high"], ["block", "packed"]):
+        for (grp, _, low, high), (blocks, blobs) in _keyed(batches, ["grp", "fragment", "low", "high"], ["block", "packed"]):
             parts = [unpacked_sets(x) for x in blobs]
-            print_, copies, size, grams = (np.concatenate(x) for x in zip(*parts, strict=True))
+            about, size, grams = (np.concatenate(x) for x in zip(*parts, strict=True))
             block = np.repeat(blocks, [len(p[0]) for p in parts])
-            rows = range(len(print_))
             overlap = overlaps(np.concatenate([[0], np.cumsum(size)]), grams)
-            linked = limit.linked(overlap, size[:, None], size[None, :])
-            np.fill_diagonal(linked, False)
+            n = about[:, 2]
+            least, most = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
+            stays = (overlap > 0) & (100 * least >= percent * most) & (size[:, None] + size - 2 * overlap <= limit.difference(n[:, None] + n))
             if low != high:
-                linked &= block[:, None] != block[None, :]
-            u, v = np.nonzero(np.triu(linked))
-            root = forest(u, v, len(rows))
-            out += [(int(print_[k]), int(print_[root[k]]), 0) for k in np.flatnonzero(root != np.arange(len(rows))).tolist()]
-            total = linked @ copies
-            out += [(int(print_[k]), None, int(total[k])) for k in np.flatnonzero(total).tolist()]
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["a", "b", "links"])
-                out = []
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["a", "b", "links"])
+                stays &= block[:, None] != block
+            u, v = np.nonzero(np.triu(stays, 1))
+            if len(u):
+                used, index = np.unique(np.concatenate([u, v]), return_inverse=True)
+                index = index.reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array([grp]), pa.array([low], pa.int32()), pa.array([high], pa.int32()), pa.array([squeezed(np.array([len(used), len(u)], np.int64), about[used], index.astype("<u4"), overlap[u, v].astype("<u4"))], pa.binary())], names=["grp", "low", "high", "partial"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row of docs.
+def _links(percent: int):
+    """Sums of partial overlaps per pair of a pair of blocks: a forest of the links, and the links of each class."""
+    limit = Threshold(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (blobs,) in _keyed(batches, ["grp", "low", "high"], ["partial"]):
+            told, pairs, counts = [], [], []
+            for blob in blobs:
+                raw = expanded(blob)
+                n, m = np.frombuffer(raw, np.int64, 2).tolist()
+                about = np.frombuffer(raw, np.int64, 3 * n, 16).reshape(n, 3)
+                u, v = np.frombuffer(raw, "<u4", 2 * m, 16 + 24 * n).reshape(2, m)
+                told.append(about)
+                pairs.append(about[:, 0][np.stack([u, v])])
+                counts.append(np.frombuffer(raw, "<u4", m, 16 + 24 * n + 8 * m))
+            print_, one = np.unique(np.concatenate(told)[:, 0], return_index=True)
+            copies, size = np.concatenate(told)[one][:, 1], np.concatenate(told)[one][:, 2]
+            index = np.sort(np.searchsorted(print_, np.concatenate(pairs, axis=1)), axis=0)
+            key, of = np.unique(index[0] * len(print_) + index[1], return_inverse=True)
+            overlap = np.bincount(of, np.concatenate(counts)).astype(np.int64)
+            u, v = key // len(print_), key % len(print_)
+            linked = limit.linked(overlap, size[u], size[v])
+            u, v = u[linked], v[linked]
+            root = forest(u, v, len(print_))
+            tied = np.flatnonzero(root != np.arange(len(print_)))
+            total = np.bincount(u, copies[v], len(print_)).astype(np.int64) + np.bincount(v, copies[u], len(print_)).astype(np.int64)
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([print_[tied], print_[some]])), pa.array([*print_[root[tied]].tolist(), *[None] * len(some)], pa.int64()), pa.array(np.concatenate([np.zeros(len(tied), np.int64), total[some]]))], names=["a", "b", "links"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text", keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row of docs; with keys also text_hash (xxhash64 of the text)
+    and component (a number of the component, null for an empty set).
 
     Sets of distinct `words`-word shingles, A-Z lower-cased; a text of fewer words is one shingle, and one without
     words is empty and linked with nothing. Linked: 100 * intersection >= percent * union.  component_id: the smallest
     id reachable by links, the row's own included; n_links: how many other rows it links with.  A null text is empty.
-    A row with a null id belongs to the component of equal sets; a set that only such rows have is not compared.
+    A row with a null id links like any other and gives no component its id; rows may repeat, ids too.  An empty table
+    gives no rows.  A long text is a chunk of its own and needs some thirty times its size in memory.
     Shingles and sets are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     buckets = shuffle_buckets(spark)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    info = written(rows.mapInArrow(_outlines(words), "doc_id long, n long, print long, outline binary"), "outlines")
-    classes = written(info.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("outline").alias("outline")), "classes")
-
-    keys = rows.mapInArrow(_keys(words, percent, buckets), "bucket int, keys binary, prints binary")
-    meetings = keys.repartition(buckets, "bucket").mapInArrow(_meetings, "meeting long, size int, members binary")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    info = written(rows.mapInArrow(_outlines(words), "doc_id long, text_hash long, n long, print long, outline binary"), "outlines")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    classes = info.where("n > 0").groupBy("print").agg(one.alias("one"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("outline").alias("outline"))
+    classes = written(classes.select("print", "one.doc_id", "one.text_hash", "copies", "n", "outline"), "classes")
+
+    made = rows.mapInArrow(_keys(words, percent, buckets), "bucket int, keys binary, prints binary")
+    meetings = made.repartitionById(buckets, F.col("bucket")).mapInArrow(_meetings, "meeting long, size int, members binary")
     meetings = written(meetings.groupBy("meeting").agg(F.first("members").alias("members")), "meetings")
     members = meetings.mapInArrow(_members, "meeting long, low int, high int, print long").join(classes.select("print", "n", "outline"), "print")
     close = members.repartition(buckets, "meeting", "low", "high").sortWithinPartitions("meeting", "low", "high").mapInArrow(_close(percent), "a long, b long")
     groups = components(close)
+    drop(meetings)
 
-    group = F.coalesce("root", "print").alias("grp")
     near = groups.select(F.col("node").alias("print"), "root").union(groups.select(F.col("root").alias("print"), "root").distinct())
-    near = classes.drop("outline").join(near, "print").select("doc_id", "print", "copies", group, "n")
-    count = near.groupBy("grp").agg(F.count("*").alias("members"))
-    near = near.join(count, "grp").withColumn("parts", F.ceil(F.col("members") / (BLOCK // PARTS)).cast("int")).withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
-    near = written(near.select("doc_id", "grp", "print", "copies", "part", F.ceil(F.col("parts") / PARTS).cast("int").alias("blocks")), "near")
-    sets = rows.join(near, "doc_id").mapInArrow(_sets(words), "grp long, part int, blocks int, print long, copies long, grams binary")
-    parts = sets.repartition(buckets, "grp", "part").sortWithinPartitions("grp", "part").mapInArrow(_packed, "grp long, low int, high int, block int, packed binary")
-    blocks = parts.repartition(buckets, "grp", "low", "high").sortWithinPartitions("grp", "low", "high")
-    found = written(blocks.mapInArrow(_links(percent), "a long, b long, links long"), "links")
+    near = classes.drop("outline").join(near, "print").select("doc_id", "text_hash", "print", "copies", F.col("root").alias("grp"), "n")
+    count = near.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("grams"))
+    parts, blocks = F.ceil(F.col("members") / (BLOCK // PARTS)).cast("int"), F.ceil(F.col("parts") / PARTS).cast("int")
+    near = near.join(count, "grp").withColumn("parts", parts).withColumn("blocks", blocks)
+    # as many fragments as a pair of blocks needs
+    near = near.withColumn("fragments", F.greatest(F.lit(1), F.ceil(F.col("grams") * F.least(F.lit(2), F.col("blocks")) / F.col("blocks") / VOLUME)).cast("int"))
+    near = written(near.select("doc_id", "text_hash", "grp", "print", "copies", "n", "fragments", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int").alias("part"), "blocks"), "near")
+    # equal rows have the same key, and one of them is enough (see _packed); the join shuffles at every size
+    key = lambda df: df.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    texts = key(rows).hint("merge").join(key(near).drop("doc_id"), ["id", "text_hash"])
+    kinds = "grp long, part int, blocks int, print long, copies long, n long, fragment int, grams binary"
+    sets = texts.mapInArrow(_sets(words), kinds)
+    order = ["grp", "fragment", "part"]
+    made = sets.repartition(buckets, *order).sortWithinPartitions(*order).mapInArrow(_packed, "grp long, fragment int, low int, high int, block int, packed binary")
+    order = ["grp", "fragment", "low", "high"]
+    partial = made.repartition(buckets, *order).sortWithinPartitions(*order).mapInArrow(_partial(percent), "grp long, low int, high int, partial binary")
+    order = ["grp", "low", "high"]
+    found = written(partial.repartition(buckets, *order).sortWithinPartitions(*order).mapInArrow(_links(percent), "a long, b long, links long"), "links")
+    drop(groups, near)
 
     linked = components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy(F.col("a").alias("print")).agg(F.sum("links").alias("links"))
     rooted = classes.select("print", "doc_id", "copies").join(linked.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = rooted.join(least, "root").join(links, "print", "left").select("print", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = info.select("doc_id", "n", "print").join(labels, "print", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
+    labels = rooted.join(least, "root").join(links, "print", "left").select("print", F.col("root").alias("component"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    labels = written(labels, "labels")
+    drop(classes, found, linked)
+    out = info.drop("outline").join(labels, "print", "left")
+    some = F.col("n") > 0
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), "text_hash", F.when(some, F.col("component")).alias("component"))
+    return depends(out if keys else out.drop("text_hash", "component"), info, labels)

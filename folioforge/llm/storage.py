@@ -29,7 +29,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
-    _paths[made] = path
+    _paths[made] = [path]
     release(spark)
     return made
 
@@ -41,13 +41,18 @@ def release(spark: SparkSession) -> None:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables made by written() that nothing reads any more."""
+    """Delete tables made by written(), or all that a result of depends() reads, which nothing reads any more."""
     for df in tables:
-        path = _paths.pop(df, None)
-        if path is not None:
+        for path in _paths.pop(df, ()):
             drop_path(df.sparkSession, path)
 
 
+def depends(made: DataFrame, *tables: DataFrame) -> DataFrame:
+    """made, of which drop() deletes these written tables; they are not dropped by themselves any more."""
+    _paths[made] = [path for df in tables for path in _paths.pop(df, ())]
+    return made
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)

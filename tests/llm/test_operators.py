@@ -180,8 +180,9 @@ def test_packed_sets_round_trip():
     pick = np.random.default_rng(4)
     core = np.unique(pick.integers(0, 1 << 63, 200).astype(np.uint64))
     sets = [np.unique(np.concatenate([core[pick.random(len(core)) > 0.1], pick.integers(0, 1 << 63, 9).astype(np.uint64)])) for _ in range(50)] + [core[:1], core[-1:]]
-    prints, copies, size, grams = jaccard.unpacked_sets(jaccard.packed_sets(np.arange(-5, len(sets) - 5), np.arange(len(sets)) + 1, sets))
-    assert prints.tolist() == list(range(-5, len(sets) - 5)) and copies.tolist() == list(range(1, len(sets) + 1))
+    told = np.column_stack([np.arange(-5, len(sets) - 5), np.arange(len(sets)) + 1, [len(x) for x in sets]])
+    about, size, grams = jaccard.unpacked_sets(jaccard.packed_sets(told, sets))
+    assert (about == told).all()
     assert [sorted(x.tolist()) for x in np.split(grams, np.cumsum(size)[:-1])] == [s.tolist() for s in sets]
 
 
@@ -198,7 +199,9 @@ def test_jaccard_of_long_texts(spark):
 
 
 def test_jaccard_in_many_blocks(spark, monkeypatch):
+    """Blocks of 8 classes and fragments of few n-grams: every link's overlap is a sum over several tasks."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "VOLUME", 100)
     words = [f"w{k}" for k in range(60)]
     texts = [" ".join(w if (k * 7 + j) % 50 else f"x{k}" for j, w in enumerate(words)) for k in range(45)]
     made = spark.createDataFrame(list(enumerate([*texts, *texts[:5]])), "doc_id long, text string")
@@ -206,6 +209,14 @@ def test_jaccard_in_many_blocks(spark, monkeypatch):
     assert got == sorted(map(str, brute_components(rows_of(made), 4, 85)))
 
 
+def test_sets_of_rows_without_id_are_compared(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join(words)), (7, " ".join([*words, "x"])), (None, " ".join([*words, "y"])), (None, "alone"), (None, None), (8, "")]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, map(tuple, jaccard.near_duplicates(made).select("doc_id", "n_shingles", "component_id", "n_links").collect())))
+    assert got == sorted(map(str, brute_components(rows_of(made), 4, 85)))
+
+
 def brute_repeats(rows, size):
     first = {}
     words = [WORD.findall(t) for _, t in rows]
