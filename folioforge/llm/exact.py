@@ -239,6 +239,83 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     return local.where("row_no is not null").select("row", "row_no", "owner").join(owners, "owner").select("row", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), "text_sha256")
 
 
-def without_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of docs that stay, all their columns unchanged."""
-    return exact_duplicates(docs, id_column, text_column, keep, carry=docs.columns).where("kept").select("row.*")
+def _local_rows(largest: bool, memory: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tries, held, rows, texts = Owners(largest), 0, [], []
+
+        def entries() -> pa.RecordBatch:
+            found = [(node.best[1], *struct.unpack(">qq", key[:16]), key[16:]) for key, node in tries.finished()]
+            kept = pa.array([f[0] for f in found], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(rows).take(kept), pa.concat_arrays(texts).take(kept), *(pa.array([f[k] for f in found], kind) for k, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.binary())))], names=["row", "none", "hash", "size", "body"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            base = sum(len(r) for r in rows)
+            rows.append(batch.column("row"))
+            texts.append(batch.column("none"))
+            ids, sizes, hashes, bodies = (batch.column(k) for k in ("id", "size", "hash", "body"))
+            for k in range(batch.num_rows):
+                key = struct.pack(">qq", hashes[k].as_py(), sizes[k].as_py()) + bodies[k].as_py()
+                _, new = tries.add(key, (ids[k].as_py(), base + k), 1, base + k)
+                held += 100 + (len(key) + 200 if new else 0)
+            if held > memory:
+                yield entries()
+                tries, held, rows, texts = Owners(largest), 0, [], []
+        if rows:
+            yield entries()
+
+    return run
+
+
+def _kept_rows(largest: bool, memory: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tries, rows, texts, n = Owners(largest, memory, 0, os.environ.get("TMPDIR") or tempfile.gettempdir()), [], [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows.append(batch.column("row"))
+            texts.append(batch.column("none"))
+            known, hashes, bodies = batch.column("id"), batch.column("hash"), batch.column("body")
+            for k in range(batch.num_rows):
+                body = bodies[k].as_py()
+                tries.add(struct.pack(">qq", hashes[k].as_py(), len(body)) + body, (known[k].as_py(), n + k), 1, n + k)
+            n += batch.num_rows
+        if not rows:
+            return
+        rows, texts = pa.concat_arrays(rows), pa.concat_arrays(texts)
+        out, held = [], 0
+
+        def made() -> pa.RecordBatch:
+            kept = pa.array([k for k, _ in out], pa.int64())
+            none = texts.take(kept).to_pylist()
+            return pa.RecordBatch.from_arrays([rows.take(kept), pa.array([None if no else body.decode() for no, (_, body) in zip(none, out, strict=True)], pa.string())], names=["row", "body"])
+
+        for key, node in tries.finished():
+            out.append((node.best[1], key[16:]))
+            held += len(key)
+            if held > 8 << 20:
+                yield made()
+                out, held = [], 0
+        yield made()
+
+    return run
+
+
+def without_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: str = "smallest", memory: int = MEMORY) -> DataFrame:
+    """The rows of docs that stay, all their columns unchanged; the rules are those of exact_duplicates.
+
+    A text leaves a task once, with the other columns of the best row there, and the tries over whole texts give back
+    the rows that stay: each text is dealt once and nothing is written or joined.  Of rows with the same id and text any one stays.
+    """
+    others = [c for c in docs.columns if c != text_column]
+    text = F.col(f"`{text_column}`").cast("string")
+    row = F.struct(*([F.col(f"`{c}`") for c in others] or [F.lit(None).cast("int").alias("nothing")])).alias("row")
+    rows = docs.select(row, text.isNull().alias("none"), F.col(f"`{id_column}`").cast("long").alias("id"), F.coalesce(text, F.lit("")).cast("binary").alias("body"))
+    rows = rows.withColumns({"size": F.length("body").cast("long"), "hash": F.xxhash64("body")})
+    largest = {"smallest": False, "largest": True}[keep]
+    kind = rows.schema["row"]
+    local = T.StructType([kind, *T._parse_datatype_string("none boolean, hash long, size long, body binary").fields])
+    entries = rows.mapInArrow(_local_rows(largest, memory), local).withColumn("id", F.col(f"row.`{id_column}`").cast("long"))
+    stays = entries.repartition(shuffle_buckets(docs.sparkSession), "size", "hash").mapInArrow(_kept_rows(largest, memory), T.StructType([kind, T.StructField("body", T.StringType())]))
+    return stays.select(*[F.col("body").alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
