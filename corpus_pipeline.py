@@ -15,7 +15,7 @@ from folioforge.llm.langid import held_out, labelled, trained
 from folioforge.llm.packing import packed
 from folioforge.llm.queries import vocabulary
 from folioforge.llm.secrets import redacted
-from folioforge.llm.storage import table, written
+from folioforge.llm.storage import drop, table, written
 
 #: A document goes if it has no letter, or less than this share of it is in one language.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -33,10 +33,20 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the one with the smallest id stays."""
-    made = near_duplicates(docs, words=5, percent=80)
-    gone = written(made.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "near")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates (five words, similarity 0.8) the row with the smallest id stays, of equal ids that
+    with the smaller hash of its text, and one without id only where no row has one.  Rows go by id and text, so one with
+    the id of a row that goes stays if its own text does; rows equal in both go or stay together."""
+    made = near_duplicates(docs, words=5, percent=80, keys=True)
+    linked = written(made.where("component is not null").select("doc_id", "text_hash", "component"), "linked")
+    drop(made)
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    stays = linked.groupBy("component").agg(F.min(one).alias("one"), F.count("*").alias("n")).where("n > 1").drop("n")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id_")
+    gone = linked.join(stays, "component").where(one != F.col("one")).select(key, F.col("text_hash").alias("hash_")).distinct()
+    gone = written(gone, "near")
+    drop(linked)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash_"))
+    return rows.hint("merge").join(gone, ["id_", "hash_"], "left_anti").select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +68,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
+            made = written(made, f"stage-{name}")
+            drop(docs)
+        docs = made
     return docs
