@@ -1,143 +1,118 @@
 """Search over positioned characters.
 
-A page's characters (at most 2**20 of them) are one group; everything that a match needs is on its page.
+A page's characters (at most CHARS_MOST of them) are one group, as arrays.  Where a line ends or a wide gap lies between two
+characters, a mark is put into the page's text; a needle becomes a pattern over text and marks, so that finding, order and
+overlap are those of a regular expression.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 HITS_MOST, CHARS_MOST = 1000, 1 << 20
 LINE_EMS, GAP_EMS, STEP = 0.1, 0.2, 1 / 9
-
-
-@dataclass
-class Char:
-    """rune; corners upper left, upper right, lower left, lower right; origin, end, size; whether its axes are upright."""
-
-    rune: int
-    quad: tuple[float, ...]
-    ox: float
-    oy: float
-    ex: float
-    ey: float
-    size: float
-    axis: bool = True
-
-    @property
-    def space(self) -> bool:
-        return chr(self.rune).isspace() if self.rune else False
-
-
-def _moves(a: Char, b: Char) -> tuple[float, float]:
-    """How far b begins from the end of a, across and along a's direction."""
-    dx, dy = a.ex - a.ox, a.ey - a.oy
-    length = math.hypot(dx, dy)
-    dx, dy = (dx / length, dy / length) if length else (1.0, 0.0)
-    vx, vy = b.ox - a.ex, b.oy - a.ey
-    return abs(dx * vy - dy * vx), dx * vx + dy * vy
-
-
-def new_line(a: Char, b: Char) -> bool:
-    return _moves(a, b)[0] > LINE_EMS * a.size
-
-
-def gap(a: Char, b: Char) -> bool:
-    return _moves(a, b)[1] >= GAP_EMS * a.size
-
-
-def folds(a: int, b: str) -> bool:
-    """Equal under simple case folding, one character to one."""
-    return re.fullmatch("(?i:" + re.escape(b) + ")", chr(a)) is not None
-
-
-def _match(chars: list[Char], at: int, needle: str) -> tuple[int, list[list[int]]] | None:
-    """The end of a match that begins at `at`, and its characters by line."""
-    segments: list[list[int]] = [[]]
-    k = at
+#: Marks before a character, and what stands for a character without text: code points that no text has.
+LINE, GAP, NONE = "\U0010fffe", "\U0010fffd", "\U0010fffc"
+
+
+class PageText:
+    """rune (n), quad (n, 8: upper left, upper right, lower left, lower right), origin (n, 2), end (n, 2), size (n), axis (n)."""
+
+    def __init__(self, rune, quad, origin, end, size, axis):
+        self.quad, self.axis = np.asarray(quad, float).reshape(-1, 8), np.asarray(axis, bool)
+        origin, end, size = np.asarray(origin, float).reshape(-1, 2), np.asarray(end, float).reshape(-1, 2), np.asarray(size, float)
+        shown = [chr(r) if r else NONE for r in np.asarray(rune, np.int64).tolist()]
+        shown = [" " if c.isspace() else c for c in shown]
+        along = end[:-1] - origin[:-1]
+        length = np.hypot(along[:, 0], along[:, 1])[:, None]
+        along = np.where(length > 0, along / np.where(length > 0, length, 1), [1.0, 0.0])
+        step, ahead = origin[1:] - origin[:-1], origin[1:] - end[:-1]
+        self.breaks = np.zeros(len(shown), bool)
+        self.breaks[1:] = np.abs(along[:, 0] * step[:, 1] - along[:, 1] * step[:, 0]) > LINE_EMS * size[:-1]
+        gaps = np.zeros(len(shown), bool)
+        gaps[1:] = (along * ahead).sum(axis=1) >= GAP_EMS * size[:-1]
+        gaps &= ~self.breaks
+        self.space = np.array([c == " " for c in shown], bool)
+        self.text = "".join(LINE + c if b else GAP + c if g else c for c, b, g in zip(shown, self.breaks.tolist(), gaps.tolist(), strict=True))
+        #: place of each character in text
+        self.places = np.cumsum(1 + (self.breaks | gaps)) - 1
+
+    def segments(self, first: int, last: int) -> list[tuple[int, int]]:
+        """The characters of a match, by line: a new one begins where a break stands before what is no space."""
+        inner = np.arange(first + 1, last)
+        cuts = inner[self.breaks[inner] & ~self.space[inner]].tolist()
+        return list(zip([first, *cuts], [*cuts, last], strict=True))
+
+    def quads(self, first: int, last: int) -> list[list[float]]:
+        """Quads of the characters of one line: a new one where top or bottom leaves the first character's by a ninth of
+        its height; of turned text, the corners of the first and last character."""
+        q = self.quad[first:last]
+        if not self.axis[first:last].all():
+            return [[*q[0, :2], *q[-1, 2:4], *q[0, 4:6], *q[-1, 6:]]]
+        out, at = [], 0
+        left, right = np.minimum(q[:, 0], q[:, 2]), np.maximum(q[:, 0], q[:, 2])
+        while at < len(q):
+            top, bottom = q[at, 1], q[at, 5]
+            far = np.maximum(np.abs(q[at:, 1] - top), np.abs(q[at:, 5] - bottom)) > STEP * abs(bottom - top)
+            end = at + (int(far.argmax()) if far.any() else len(far))
+            x0, x1 = left[at:end].min(), right[at:end].max()
+            out.append([x0, top, x1, top, x0, bottom, x1, bottom])
+            at = end
+        return out
+
+
+def pattern(needle: str) -> re.Pattern | None:
+    """A needle over marked text; None for one without any character but white space.
+
+    White space takes a run of spaces, or stands where a mark does; each one needs a separator of its own.  Any other
+    character may follow a gap, and a line break only after white space.
+    """
+    if not needle.strip():
+        return None
+    out, after_space = [], False
     for c in needle:
         if c.isspace():
-            swallowed = k
-            while k < len(chars) and chars[k].space:
-                segments[-1].append(k)
-                k += 1
-            found = k > swallowed
-            if 0 < k < len(chars):
-                before = chars[k - 1]
-                if new_line(before, chars[k]):
-                    segments.append([])
-                    found = True
-                elif not found and gap(before, chars[k]):
-                    found = True
-            if not found:
-                return None
-            continue
-        if k >= len(chars) or chars[k].space or not chars[k].rune or not folds(chars[k].rune, c):
-            return None
-        if segments[-1] and new_line(chars[k - 1], chars[k]):
-            return None
-        segments[-1].append(k)
-        k += 1
-    return k, [s for s in segments if s]
-
-
-def _quads(chars: list[Char]) -> list[tuple[float, ...]]:
-    """One quad for a run whose top and bottom keep within a ninth of its first character's height."""
-    out, run = [], [chars[0]]
-
-    def close() -> None:
-        if all(c.axis for c in run):
-            xs, ys = [v for c in run for v in c.quad[::2]], [v for c in run for v in c.quad[1::2]]
-            out.append((min(xs), min(ys), max(xs), min(ys), min(xs), max(ys), max(xs), max(ys)))
+            out.append(f"(?:(?:[{LINE}{GAP}]?[ ])++|(?=[{LINE}{GAP}]))")
+            after_space = True
         else:
-            a, b = run[0].quad, run[-1].quad
-            out.append((a[0], a[1], b[2], b[3], a[4], a[5], b[6], b[7]))
+            out.append((f"[{LINE}{GAP}]?" if after_space or not out else f"{GAP}?") + re.escape(c))
+            after_space = False
+    return re.compile("".join(out), re.IGNORECASE)
 
-    for c in chars[1:]:
-        first = run[0].quad
-        height = abs(first[5] - first[1])
-        if abs(c.quad[1] - first[1]) > STEP * height or abs(c.quad[5] - first[5]) > STEP * height:
-            close()
-            run.clear()
-        run.append(c)
-    close()
-    return out
 
-
-def search(chars: list[Char], needle: str, most: int = HITS_MOST) -> list[tuple[float, ...]]:
+def search(page: PageText, needle: str, most: int = HITS_MOST) -> list[list[float]]:
     """Quads of leftmost, non-overlapping matches in order; the limit counts quads and may cut the last match."""
-    if not needle.strip():
-        return []
-    out: list[tuple[float, ...]] = []
-    at, most = 0, min(most, HITS_MOST)
-    while at < len(chars) and len(out) < most:
-        found = _match(chars, at, needle)
-        if not found or found[0] == at:
-            at += 1
-            continue
-        for segment in found[1]:
-            out += _quads([chars[k] for k in segment])
-        at = found[0]
+    wanted, most, out = pattern(needle), min(most, HITS_MOST), []
+    for m in wanted.finditer(page.text) if wanted else ():
+        if len(out) >= most:
+            break
+        first, last = (int(np.searchsorted(page.places, at)) for at in m.span())
+        for a, b in page.segments(first, last):
+            out += page.quads(a, b)
     return out[:most]
 
 
 def search_pages(chars: DataFrame, needle: str, most: int = HITS_MOST) -> DataFrame:
     """doc_id, page_no, ord and quad of every hit. chars: doc_id, page_no, seq, rune, quad, ox, oy, ex, ey, size, axis."""
+    kinds = StructType([*(StructField(c, chars.schema[c].dataType) for c in ("doc_id", "page_no")), *_parse_datatype_string("ord int, quad array<double>").fields])
 
-    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq").head(CHARS_MOST)
-        page = [Char(int(r.rune), tuple(r.quad), r.ox, r.oy, r.ex, r.ey, r.size_, bool(r.axis)) for r in frame.rename(columns={"size": "size_"}).itertuples()]
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq").slice(0, CHARS_MOST).combine_chunks()
+        column = lambda c: table.column(c).to_numpy()
+        quads = np.concatenate([c.values.to_numpy() if not c.offset else c.flatten().to_numpy() for c in table.column("quad").chunks])
+        page = PageText(column("rune"), quads, np.column_stack([column("ox"), column("oy")]), np.column_stack([column("ex"), column("ey")]), column("size"), column("axis"))
         hits = search(page, needle, most)
-        return pd.DataFrame({"doc_id": [key[0]] * len(hits), "page_no": [key[1]] * len(hits), "ord": range(len(hits)), "quad": [list(map(float, q)) for q in hits]})
+        keys = [pa.array([k.as_py()] * len(hits), k.type) for k in key]
+        return pa.table([*keys, pa.array(range(len(hits)), pa.int32()), pa.array(hits, pa.list_(pa.float64()))], names=["doc_id", "page_no", "ord", "quad"])
 
-    kinds = dict(chars.dtypes)
-    return chars.groupBy("doc_id", "page_no").applyInPandas(one, f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, ord int, quad array<double>")
+    columns = ["doc_id", "page_no", "seq", "rune", "quad", "ox", "oy", "ex", "ey", "size", "axis"]
+    return chars.select(*columns).groupBy("doc_id", "page_no").applyInArrow(one, kinds)
 
 
 def with_line_flags(chars: DataFrame) -> DataFrame:

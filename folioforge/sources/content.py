@@ -1,156 +1,91 @@
-"""Content streams: operations in order, and the characters that they show.
-
-Advance widths come from the font's own table; a font without one counts every character as 0.6 em if it is a
-typewriter face and 0.5 em otherwise, so positions after such text are approximate.
-"""
+"""Content streams: their operations, one after another."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from .document import Document, Page
 from .objects import Damaged, Name, Reader, Stream
 
-OPERANDS_MOST, OPERATIONS_MOST, PARTS_MOST, SAVES_MOST, FORMS_MOST, CHARS_MOST = 64, 1 << 22, 8192, 256, 12, 1 << 20
+OPERANDS_MOST, PARTS_MOST, CONTENT_MOST = 64, 8192, 1 << 28
 INLINE_END = re.compile(rb"[\0\t\n\f\r ]EI(?=[\0\t\n\f\r ]|\Z)")
 WORD = re.compile(rb"[\0\t\n\f\r ]*([A-Za-z'\"*][A-Za-z0-9'\"*]*)")
-Matrix = tuple[float, float, float, float, float, float]
-IDENTITY: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
-
-
-def times(m: Matrix, n: Matrix) -> Matrix:
-    a, b, c, d, e, f = m
-    g, h, i, j, k, o = n
-    return a * g + b * i, a * h + b * j, c * g + d * i, c * h + d * j, e * g + f * i + k, e * h + f * j + o
+#: Short names in inline images.
+SHORT = {"BPC": "BitsPerComponent", "CS": "ColorSpace", "D": "Decode", "DP": "DecodeParms", "F": "Filter", "H": "Height", "IM": "ImageMask", "I": "Interpolate", "W": "Width"}
+SHORT_FILTERS = {"AHx": "ASCIIHexDecode", "A85": "ASCII85Decode", "LZW": "LZWDecode", "Fl": "FlateDecode", "RL": "RunLengthDecode", "CCF": "CCITTFaxDecode", "DCT": "DCTDecode"}
+SAMPLES = {"DeviceGray": 1, "G": 1, "CalGray": 1, "Indexed": 1, "I": 1, "DeviceRGB": 3, "RGB": 3, "CalRGB": 3, "DeviceCMYK": 4, "CMYK": 4}
 
 
 def contents(doc: Document, page: Page) -> bytes:
-    """The page's streams, joined by line ends; parts that are none are skipped."""
+    """The page's streams, joined by line ends; parts that are none are skipped, and a total too large is cut."""
     value = doc.file.get(page.entries.get("Contents"))
-    parts = value[:PARTS_MOST] if isinstance(value, list) else [value]
-    found = [doc.file.get(p) for p in parts]
-    return b"\n".join(doc.file.content(s) for s in found if isinstance(s, Stream))
-
-
-def operations(data: bytes) -> list[tuple[str, list]]:
-    """(operator, operands) in order; what cannot be read is passed over, and surplus operands are dropped."""
-    reader, out, operands = Reader(data), [], []
-    while reader.at < len(data) and len(out) < OPERATIONS_MOST:
+    parts, held, out = value[:PARTS_MOST] if isinstance(value, list) else [value], 0, []
+    for part in parts:
+        part = doc.file.get(part)
+        if isinstance(part, Stream):
+            out.append(doc.file.content(part))
+            held += len(out[-1]) + 1
+            if held > CONTENT_MOST:
+                break
+    return b"\n".join(out)[:CONTENT_MOST]
+
+
+def operations(data: bytes) -> Iterator[tuple[str, list]]:
+    """(operator, its first operands) in order; what cannot be read is passed over.  An inline image is one operation
+    `BI` with a stream as its operand."""
+    reader, operands = Reader(data), []
+    while reader.at < len(data):
         m = WORD.match(data, reader.at)
         if m and m[1] not in (b"true", b"false", b"null"):
             reader.at = m.end()
             name = m[1].decode()
-            if name == "BI":
-                end = INLINE_END.search(data, reader.at)
-                reader.at = end.end() if end else len(data)
-            out.append((name, operands[-OPERANDS_MOST:]))
+            yield (name, [_inline(reader)]) if name == "BI" else (name, operands)
             operands = []
             continue
         before = reader.at
         try:
-            operands.append(reader.value())
+            value = reader.value()
+            if len(operands) < OPERANDS_MOST:
+                operands.append(value)
         except (Damaged, ValueError):
             reader.at = max(reader.at, before + 1)
-    return out
-
-
-class Font:
-    def __init__(self, doc: Document, entries: dict | None):
-        entries = entries if isinstance(entries, dict) else {}
-        get = doc.file.get
-        self.first = get(entries.get("FirstChar")) or 0
-        self.widths = [get(w) for w in get(entries.get("Widths")) or []]
-        name = str(get(entries.get("BaseFont")) or "")
-        info = get(entries.get("FontDescriptor"))
-        self.default = (get(info.get("MissingWidth")) if isinstance(info, dict) else None) or (0 if self.widths else 600 if "Courier" in name or "Mono" in name else 500)
-        self.ascent, self.descent = 0.8, -0.2
-        if isinstance(info, dict):
-            self.ascent = (get(info.get("Ascent")) or 800) / 1000
-            self.descent = (get(info.get("Descent")) or -200) / 1000
-
-    def width(self, code: int) -> float:
-        k = code - self.first
-        w = self.widths[k] if 0 <= k < len(self.widths) else None
-        return (w if isinstance(w, int | float) else self.default) / 1000
-
 
-def characters(doc: Document, page: Page) -> list[dict]:
-    """Rows of the character table, in the order shown and measured from the page's top left."""
-    out: list[dict] = []
-    _show(doc, page, contents(doc, page), doc.file.get(page.resources), IDENTITY, out, 0)
-    return out[:CHARS_MOST]
 
-
-def _show(doc: Document, page: Page, data: bytes, resources, ctm: Matrix, out: list[dict], depth: int) -> None:
-    resources = resources if isinstance(resources, dict) else {}
-    inside = lambda kind, name: doc.file.get((doc.file.get(resources.get(kind)) or {}).get(str(name)))
-    state = {"ctm": ctm, "font": Font(doc, None), "size": 1.0, "char": 0.0, "word": 0.0, "scale": 1.0, "lead": 0.0, "rise": 0.0}
-    saved: list[dict] = []
-    text = line = IDENTITY
-
-    def show(raw: bytes) -> None:
-        nonlocal text
-        for code in raw:
-            s, font = state["size"], state["font"]
-            advance = (font.width(code) * s + state["char"] + (state["word"] if code == 32 else 0.0)) * state["scale"]
-            trm = times(times((s * state["scale"], 0.0, 0.0, s, 0.0, state["rise"]), text), state["ctm"])
-            reach = font.width(code)
-            at = lambda x, y, trm=trm: page.top_left(trm[0] * x + trm[2] * y + trm[4], trm[1] * x + trm[3] * y + trm[5])
-            corners = [v for x, y in ((0, font.ascent), (reach, font.ascent), (0, font.descent), (reach, font.descent)) for v in at(x, y)]
-            (ox, oy), (ex, ey) = at(0, 0), at(reach, 0)
-            rune = ord(bytes([code]).decode("cp1252", "replace"))
-            out.append({"page_no": page.number, "seq": len(out), "rune": rune, "quad": corners, "ox": ox, "oy": oy, "ex": ex, "ey": ey, "size": (trm[2] ** 2 + trm[3] ** 2) ** 0.5, "axis": trm[1] == 0 and trm[2] == 0})
-            text = times((1.0, 0.0, 0.0, 1.0, advance, 0.0), text)
-
-    def next_line(x: float, y: float) -> None:
-        nonlocal text, line
-        line = times((1.0, 0.0, 0.0, 1.0, x, y), line)
-        text = line
-
-    for name, args in operations(data):
-        numbers = [float(a) for a in args if isinstance(a, int | float) and not isinstance(a, bool)]
+def _inline(reader: Reader) -> Stream | None:
+    """The image after BI: as many bytes as its size takes where nothing is encoded, else up to EI."""
+    entries: dict = {}
+    data = reader.data
+    while reader.at < len(data) and len(entries) < OPERANDS_MOST:
+        m = WORD.match(data, reader.at)
+        if m and m[1] == b"ID":
+            reader.at = m.end() + 1
+            break
+        before = reader.at
         try:
-            if name == "q" and len(saved) < SAVES_MOST:
-                saved.append(dict(state))
-            elif name == "Q" and saved:
-                state = saved.pop()
-            elif name == "cm":
-                state["ctm"] = times(tuple(numbers[:6]), state["ctm"])
-            elif name == "BT":
-                text = line = IDENTITY
-            elif name == "Tf":
-                state["font"], state["size"] = Font(doc, inside("Font", args[0])), numbers[0]
-            elif name in ("Tc", "Tw", "TL", "Ts"):
-                state[{"Tc": "char", "Tw": "word", "TL": "lead", "Ts": "rise"}[name]] = numbers[0]
-            elif name == "Tz":
-                state["scale"] = numbers[0] / 100
-            elif name == "Tm":
-                text = line = tuple(numbers[:6])
-            elif name in ("Td", "TD"):
-                if name == "TD":
-                    state["lead"] = -numbers[1]
-                next_line(numbers[0], numbers[1])
-            elif name == "T*":
-                next_line(0.0, -state["lead"])
-            elif name in ("Tj", "'", '"'):
-                if name == '"':
-                    state["word"], state["char"] = numbers[0], numbers[1]
-                if name != "Tj":
-                    next_line(0.0, -state["lead"])
-                show(args[-1])
-            elif name == "TJ":
-                for item in args[0]:
-                    if isinstance(item, bytes):
-                        show(item)
-                    elif isinstance(item, int | float):
-                        text = times((1.0, 0.0, 0.0, 1.0, -item / 1000 * state["size"] * state["scale"], 0.0), text)
-            elif name == "Do" and isinstance(args[0], Name) and depth < FORMS_MOST:
-                form = inside("XObject", args[0])
-                if isinstance(form, Stream) and doc.file.get(form.entries.get("Subtype")) == "Form":
-                    own = doc.file.get(form.entries.get("Matrix"))
-                    own = tuple(float(doc.file.get(v)) for v in own) if isinstance(own, list) and len(own) == 6 else IDENTITY
-                    _show(doc, page, doc.file.content(form), doc.file.get(form.entries.get("Resources")) or resources, times(own, state["ctm"]), out, depth + 1)
-        except (IndexError, TypeError, KeyError, ValueError):
-            continue  # an operation with wrong operands shows nothing
-        if len(out) >= CHARS_MOST:
-            return
+            key = reader.value()
+            if isinstance(key, Name):
+                entries[SHORT.get(str(key), str(key))] = reader.value()
+        except (Damaged, ValueError):
+            reader.at = max(reader.at, before + 1)
+    else:
+        return None
+    filters = entries.get("Filter")
+    filters = filters if isinstance(filters, list) else [filters] if filters is not None else []
+    if filters:
+        entries["Filter"] = [Name(SHORT_FILTERS.get(str(f), str(f))) for f in filters]
+    width, height = entries.get("Width"), entries.get("Height")
+    bits = 1 if entries.get("ImageMask") is True else entries.get("BitsPerComponent", 8)
+    space = entries.get("ColorSpace")
+    space = space[0] if isinstance(space, list) and space else space
+    samples = 1 if entries.get("ImageMask") is True else SAMPLES.get(str(space))
+    start = reader.at
+    if not filters and samples and all(isinstance(v, int) and v > 0 for v in (width, height, bits)):
+        size = (width * samples * bits + 7) // 8 * height
+        end = re.compile(rb"[\0\t\n\f\r ]*EI(?=[\0\t\n\f\r ]|\Z)").match(data, start + size)
+        if end:
+            reader.at = end.end()
+            return Stream(entries, data[start : start + size])
+    end = INLINE_END.search(data, start)
+    reader.at = end.end() if end else len(data)
+    return Stream(entries, data[start : end.start()] if end else data[start:])

@@ -116,10 +116,15 @@ def cbc_encrypt(key: bytes, data: bytes, start: bytes) -> bytes:
     return bytes(out)
 
 
+def key_bytes(length: int) -> int:
+    """Bytes of a key whose length is said in bits, or by some writers in bytes."""
+    return max(5, min(16, length // 8 if length >= 40 else length))
+
+
 def file_key(password: bytes, owner: bytes, permissions: int, file_id: bytes, revision: int, length: int, metadata: bool = True) -> bytes:
     """The key of revisions 2 to 4."""
-    size = 5 if revision == 2 else length // 8
-    digest = hashlib.md5((password + PADDING)[:32] + owner[:32] + struct.pack("<i", permissions if permissions < 1 << 31 else permissions - (1 << 32)) + file_id + (b"" if metadata or revision < 4 else b"\xff" * 4)).digest()
+    size = 5 if revision == 2 else key_bytes(length)
+    digest = hashlib.md5((password + PADDING)[:32] + owner[:32] + struct.pack("<I", permissions & 0xFFFFFFFF) + file_id + (b"" if metadata or revision < 4 else b"\xff" * 4)).digest()
     for _ in range(50 if revision >= 3 else 0):
         digest = hashlib.md5(digest[:size]).digest()
     return digest[:size]
@@ -137,7 +142,7 @@ def user_entry(key: bytes, file_id: bytes, revision: int) -> bytes:
 
 def user_password(owner_password: bytes, owner: bytes, revision: int, length: int) -> bytes:
     """The padded user password that an owner password unlocks."""
-    size, digest = (5 if revision == 2 else length // 8), hashlib.md5((owner_password + PADDING)[:32]).digest()
+    size, digest = (5 if revision == 2 else key_bytes(length)), hashlib.md5((owner_password + PADDING)[:32]).digest()
     for _ in range(50 if revision >= 3 else 0):
         digest = hashlib.md5(digest).digest()
     value = owner[:32]

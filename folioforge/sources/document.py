@@ -4,20 +4,30 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
-from .objects import File, Name, Ref, text_string
+from .fonts import number as finite
+from .objects import File, Name, Ref, Stream, text_string
 
-PAGES_MOST, DEEPEST, LINKS_MOST = 65_536, 64, 65_536
+PAGES_MOST, DEEPEST, LINKS_MOST, ENTRIES_MOST = 65_536, 64, 65_536, 262_144
 DEFAULT_BOX = (0.0, 0.0, 612.0, 792.0)
 SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+ESCAPE = re.compile(rb"%([0-9A-Fa-f]{2})")
+#: Hidden, not to be shown, invisible: flags of annotations that are not drawn.
+UNSEEN, PARENTS_MOST = 1 | 2 | 32, 32
+
+
+def percent_decoded(text: str) -> bytes:
+    """Escapes that are not two hexadecimal digits stay."""
+    return ESCAPE.sub(lambda m: bytes([int(m[1], 16)]), text.encode("utf-8", "surrogateescape"))
 
 
 def rectangle(file: File, value) -> tuple[float, ...] | None:
     value = file.get(value)
     if not isinstance(value, list) or len(value) < 4:
         return None
-    sides = [file.get(v) for v in value[:4]]
-    if not all(isinstance(v, int | float) and not isinstance(v, bool) and math.isfinite(v) for v in sides):
+    sides = [finite(file.get(v)) for v in value[:4]]
+    if None in sides:
         return None
     x0, y0, x1, y1 = sides
     return min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1)
@@ -33,7 +43,7 @@ class Page:
         cut = (max(media[0], crop[0]), max(media[1], crop[1]), min(media[2], crop[2]), min(media[3], crop[3]))
         self.box = cut if cut[0] < cut[2] and cut[1] < cut[3] else media
         turn = file.get(both.get("Rotate"))
-        turn = int(turn) if isinstance(turn, int | float) else 0
+        turn = int(finite(turn) or 0)
         self.resources = both.get("Resources")
         self.number, self.entries, self.turn = number, entries, (turn % 360 + 45) // 90 * 90 % 360
         w, h = self.box[2] - self.box[0], self.box[3] - self.box[1]
@@ -45,6 +55,13 @@ class Page:
         return {0: (u, h - v), 90: (v, u), 180: (w - u, v), 270: (h - v, w - u)}[self.turn]
 
 
+def _coordinate(text: str) -> float | None:
+    try:
+        return finite(float(text))
+    except ValueError:
+        return None
+
+
 class Document:
     def __init__(self, data: bytes, password: bytes | None = None):
         self.file = File(data)
@@ -82,7 +99,8 @@ class Document:
         pairs = self.file.get(entries.get(key))
         for k, v in zip(pairs[::2], pairs[1::2], strict=False) if isinstance(pairs, list) else ():
             k = self.file.get(k)
-            if isinstance(k, bytes | int) and not isinstance(k, bool):
+            # a key of the wrong kind costs its pair only
+            if isinstance(k, bytes if key == "Names" else int) and not isinstance(k, bool) and len(out) < ENTRIES_MOST:
                 out.setdefault(k, v)
         kids = self.file.get(entries.get("Kids"))
         for kid in kids if isinstance(kids, list) else ():
@@ -99,6 +117,10 @@ class Document:
                 out.append((first, str(style) if style in ("D", "R", "r", "A", "a") else "", text_string(prefix) if isinstance(prefix, bytes) else "", max(-(1 << 62), min(1 << 62, start))))
         return out
 
+    def authenticate(self, password: bytes) -> int:
+        """0 fails, 1 none is needed, 2 the user password, 4 the owner password, or the sum of both."""
+        return self.file.unlock(password) if "Encrypt" in self.file.trailer else 1
+
     def names(self) -> dict:
         if not hasattr(self, "_names"):
             names = self.file.get(self.root.get("Names"))
@@ -123,13 +145,70 @@ class Document:
         if not 0 <= page < len(self.pages):
             return -1, None, None
         kind, rest = self.file.get(value[1]) if len(value) > 1 else None, [self.file.get(v) for v in value[2:]]
-        number = lambda k: float(rest[k]) if k < len(rest) and isinstance(rest[k], int | float) else None
-        x, y = {"XYZ": (number(0), number(1)), "FitH": (None, number(0)), "FitBH": (None, number(0)), "FitV": (number(0), None), "FitBV": (number(0), None), "FitR": (number(0), number(3))}.get(str(kind), (None, None))
+        at = lambda k: finite(rest[k]) if k < len(rest) else None
+        x, y = {"XYZ": (at(0), at(1)), "FitH": (None, at(0)), "FitBH": (None, at(0)), "FitV": (at(0), None), "FitBV": (at(0), None), "FitR": (at(0), at(3))}.get(str(kind), (None, None))
         if x is None and y is None:
             return page, None, None
         u, v = self.pages[page].top_left(x if x is not None else math.nan, y if y is not None else math.nan)
         return page, None if math.isnan(u) else u, None if math.isnan(v) else v
 
+    def fragment(self, uri: str) -> tuple[int, float | None, float | None]:
+        """What `#page=N&zoom=z,x,y` or `#nameddest=NAME` points to; its point is measured from the top left already."""
+        if uri.startswith("#nameddest="):
+            return self.destination(percent_decoded(uri.removeprefix("#nameddest=")))
+        page, x, y = -1, None, None
+        for part in uri[1:].split("&") if uri.startswith("#") else ():
+            name, _, value = part.partition("=")
+            if name == "page" and re.fullmatch(r"[+-]?\d{1,18}", value) and 1 <= int(value) <= len(self.pages):
+                page = int(value) - 1
+            elif name == "zoom":
+                x, y = (_coordinate(v) for v in (value.split(",") + ["", "", ""])[1:3])
+        return (page, x, y) if page >= 0 else (-1, None, None)
+
+    def appearances(self, page: Page) -> Iterator[tuple[Stream, tuple[float, ...]]]:
+        """(stream, matrix into page space) of every annotation of a page that is drawn."""
+        found, n = self.file.get(page.entries.get("Annots")), 0
+        for annotation in found if isinstance(found, list) else ():
+            entries = self.file.get(annotation)
+            made = self._appearance(entries) if isinstance(entries, dict) else None
+            if made and n < LINKS_MOST:
+                n += 1
+                yield made
+
+    def _appearance(self, entries: dict) -> tuple[Stream, tuple[float, ...]] | None:
+        get = lambda k, of=entries: self.file.get(of.get(k))
+        flags, kind, looks = get("F"), get("Subtype"), get("AP")
+        if isinstance(flags, int) and flags & UNSEEN or kind in ("Link", "Popup") or kind == "Widget" and not self._is_field(entries) or not isinstance(looks, dict):
+            return None
+        form = get("N", looks)
+        if isinstance(form, dict):
+            form = get(str(get("AS")), form) if isinstance(get("AS"), Name) else None
+        if not isinstance(form, Stream):
+            return None
+        place, box = rectangle(self.file, entries.get("Rect")), rectangle(self.file, form.entries.get("BBox"))
+        given = get("Matrix", form.entries)
+        given = [finite(self.file.get(v)) for v in given] if isinstance(given, list) else []
+        m = given if len(given) == 6 and None not in given else [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]
+        if place is None or box is None:
+            return None
+        corners = [(m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]) for x in (box[0], box[2]) for y in (box[1], box[3])]
+        x0, x1 = min(c[0] for c in corners), max(c[0] for c in corners)
+        y0, y1 = min(c[1] for c in corners), max(c[1] for c in corners)
+        if not (x0 < x1 and y0 < y1):
+            return None
+        sx, sy = (place[2] - place[0]) / (x1 - x0), (place[3] - place[1]) / (y1 - y0)
+        made = (sx, 0.0, 0.0, sy, place[0] - x0 * sx, place[1] - y0 * sy)
+        return (form, made) if all(finite(v) is not None for v in made) else None
+
+    def _is_field(self, entries: dict) -> bool:
+        for _ in range(PARENTS_MOST):
+            if isinstance(self.file.get(entries.get("FT")), Name):
+                return True
+            entries = self.file.get(entries.get("Parent"))
+            if not isinstance(entries, dict):
+                return False
+        return False
+
     def _target(self, entries: dict) -> tuple[str, int, float | None, float | None]:
         if "Dest" in entries:
             return ("", *self.destination(entries["Dest"]))
@@ -142,8 +221,10 @@ class Document:
             target = self.file.get(target.get("F")) if isinstance(target, dict) else target
             if kind in ("URI", "GoToR", "Launch") and isinstance(target, bytes):
                 uri = text_string(target)
-                if kind == "URI" or SCHEME.match(uri):
+                if SCHEME.match(uri):
                     return uri, -1, None, None
+                if kind == "URI":
+                    return ("", *self.fragment(uri))
                 return "file:" + uri, -1, None, None
         return "", -1, None, None
 
@@ -153,7 +234,9 @@ class Document:
         for page in self.pages:
             found = self.file.get(page.entries.get("Annots"))
             n = 0
-            for annotation in (found if isinstance(found, list) else ())[:LINKS_MOST]:
+            for annotation in found if isinstance(found, list) else ():
+                if n >= LINKS_MOST:
+                    break
                 entries = self.file.get(annotation)
                 if not isinstance(entries, dict) or self.file.get(entries.get("Subtype")) != "Link":
                     continue

@@ -1,19 +1,25 @@
-"""Binary documents as tables: one parse per file, spread over the files."""
+"""Binary documents as tables: one parse per file, spread over the files.
+
+A file that cannot be read, in whatever way, has a status and costs no other file anything.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .content import characters
-from .document import Document
-from .objects import Damaged
+from ..functions import geometry, labels as numerals, scalars
+from . import cmaps
+from .document import Document, Page
+from .interpreter import characters, drawn
+from .objects import Damaged, Stream
 
+TOC_MOST, LINKS_MOST, AREA_MOST = 1000, 1000, 268_435_456
 SCHEMA = """path string, status string, page_count int, repaired boolean,
  pages array<struct<page:int,x0:double,y0:double,x1:double,y1:double,rotate:int,width:double,height:double>>,
  label_ranges array<struct<first:int,style:string,prefix:string,start:long>>,
@@ -26,58 +32,189 @@ def binary_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Da
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "content")
 
 
-def parsed_one(path: str, content: bytes | None) -> dict:
+def opened(content: bytes | None, password: str | None = None) -> Document:
+    return Document(content or b"", None if password is None else password.encode())
+
+
+def parsed_one(path: str, content: bytes | None, password: str | None = None) -> dict:
     """A row of SCHEMA; a file that cannot be opened has a status and nothing else."""
     try:
-        doc = Document(content or b"")
+        doc = opened(content, password)
         pages = [{"page": p.number, **dict(zip(("x0", "y0", "x1", "y1"), p.box, strict=True)), "rotate": p.turn, "width": p.size[0], "height": p.size[1]} for p in doc.pages]
         names = ("page", "ord", "uri", "target", "x", "y", "x0", "y0", "x1", "y1")
         return {"path": path, "status": "open" if doc.file.status else "locked", "page_count": len(pages), "repaired": doc.file.repaired, "pages": pages, "label_ranges": [dict(zip(("first", "style", "prefix", "start"), r, strict=True)) for r in doc.label_ranges()], "outline": [dict(zip(("ord", "depth", "title", "uri", "page", "x", "y"), r, strict=True)) for r in doc.outline()], "links": [dict(zip(names, r, strict=True)) for r in doc.links()]}
     except Damaged as error:
         return {"path": path, "status": f"damaged: {error}"}
-    except (RecursionError, ValueError, TypeError, KeyError, IndexError, AttributeError):
-        return {"path": path, "status": "damaged"}
+    except Exception as error:  # noqa: BLE001  a hostile file must not end the job
+        return {"path": path, "status": f"damaged: {type(error).__name__}"}
 
 
-def _parse(schema: pa.Schema):
+def _rows(schema: pa.Schema, make: Callable[[str, bytes, str | None], Iterator[list[dict]]]):
+    """mapInArrow over path, content, password; make gives lists of rows of one file, and a file that fails ends there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, contents = batch.column("path").to_pylist(), batch.column("content")
-            for path, content in zip(paths, contents, strict=True):
-                yield pa.RecordBatch.from_pylist([parsed_one(path, content.as_py())], schema=schema)
+            for path, content, password in zip(batch.column("path").to_pylist(), batch.column("content"), batch.column("password").to_pylist(), strict=True):
+                found = make(path, content.as_py(), password)
+                while True:
+                    try:
+                        rows = next(found)
+                    except StopIteration:
+                        break
+                    except Exception:  # noqa: BLE001  a hostile file must not end the job
+                        break
+                    for k in range(0, len(rows), 10_000):
+                        yield pa.RecordBatch.from_pylist(rows[k : k + 10_000], schema=schema)
 
     return run
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """One row per file (columns path, content); write it once and take the tables below from it."""
-    schema = _parse_datatype_string(SCHEMA)
-    return files.select("path", "content").mapInArrow(_parse(to_arrow_schema(schema)), schema)
+def _table(files: DataFrame, kinds: str, make, password: str | Column | None = None) -> DataFrame:
+    schema = _parse_datatype_string(kinds)
+    said = password if isinstance(password, Column) else F.lit(password).cast("string")
+    return files.select("path", "content", said.alias("password")).mapInArrow(_rows(to_arrow_schema(schema), make), schema)
+
+
+def parsed(files: DataFrame, password: str | Column | None = None) -> DataFrame:
+    """One row per file (columns path, content); write it once and take the tables below from it.  password: one for all
+    files, or a column of files."""
+    return _table(files, SCHEMA, lambda path, content, word: iter([[parsed_one(path, content, word)]]), password)
 
 
 CHARS = "path string, page_no int, seq long, rune int, quad array<double>, ox double, oy double, ex double, ey double, size double, axis boolean"
+DRAW = """path string, page int, seq long, op string, level int, x0 double, y0 double, x1 double, y1 double, path_data string, even_odd boolean, red int, green int, blue int, pattern string, alpha double, blend string,
+ line_width double, cap int, join int, miter double, dash array<double>, phase double, text string, font string, size double, name string, width int, height int, matrix array<double>, steps array<double>, isolated boolean, knockout boolean"""
 
 
-def _chars(schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                try:
-                    doc = Document(content.as_py() or b"")
-                except (Damaged, RecursionError, ValueError, TypeError, KeyError, IndexError, AttributeError):
-                    continue
-                for page in doc.pages:
-                    yield pa.RecordBatch.from_pylist([{"path": path} | c for c in characters(doc, page)], schema=schema)
+def _each_page(rows: Callable[[Document, Page], list[dict]]):
+    def make(path: str, content: bytes, password: str | None) -> Iterator[list[dict]]:
+        doc = opened(content, password)
+        for page in doc.pages:
+            try:
+                found = rows(doc, page)
+            except Exception:  # noqa: BLE001  the next page may be sound
+                continue
+            yield [{"path": path} | r for r in found]
 
-    return run
+    return make
+
+
+def chars(files: DataFrame, password: str | Column | None = None) -> DataFrame:
+    """Positioned characters of every page, for search; batches of a page."""
+    return _table(files, CHARS, _each_page(characters), password)
+
+
+def draw_ops(files: DataFrame, password: str | Column | None = None) -> DataFrame:
+    """Every drawing operation of every page, in order: paths and clips, text runs, images, shadings, groups, masks, tiles."""
+    return _table(files, DRAW, _each_page(lambda doc, page: drawn(doc, page).ops), password)
+
+
+def character_maps(files: DataFrame, password: str | Column | None = None) -> DataFrame:
+    """The ranges of every character map in the files: the stream's object number, kind (space, cid, text), depth of the base map, code
+    length, low and high code, and the number or text of the lowest."""
+
+    def make(path: str, content: bytes, word: str | None) -> Iterator[list[dict]]:
+        doc = opened(content, word)
+        for at, value in _objects(doc):
+            if isinstance(value, Stream) and (value.entries.get("Type") == "CMap" or b"begincmap" in (data := doc.file.content(value))[:4096]):
+                data = doc.file.content(value)
+                yield [{"path": path, "object": at} | r for r in cmaps.ranges(cmaps.parse(data))]
+
+    return _table(files, "path string, object int, kind string, depth int, size int, low long, high long, number long, text string", make, password)
+
+
+def _objects(doc: Document) -> Iterator[tuple[int, object]]:
+    from .objects import Ref
+
+    for at in sorted(doc.file.places):
+        try:
+            yield at, doc.file.get(Ref(at, 0))
+        except Exception:  # noqa: BLE001  a broken object is none
+            continue
 
 
-def chars(files: DataFrame) -> DataFrame:
-    """Positioned characters of every page, for search; one batch per page."""
-    schema = _parse_datatype_string(CHARS)
-    return files.select("path", "content").mapInArrow(_chars(to_arrow_schema(schema)), schema)
+def objects(files: DataFrame, password: str | Column | None = None) -> DataFrame:
+    """Every object of every file: number, kind, its /Type and /Subtype, its keys, and bytes of a stream before and after its filters."""
+
+    def make(path: str, content: bytes, word: str | None) -> Iterator[list[dict]]:
+        doc = opened(content, word)
+        for at, value in _objects(doc):
+            entries = value.entries if isinstance(value, Stream) else value if isinstance(value, dict) else {}
+            kind = "stream" if isinstance(value, Stream) else {dict: "dictionary", list: "array", bytes: "string", bool: "boolean", int: "integer", float: "real", type(None): "null"}.get(type(value), "name")
+            said = {k.lower(): (str(entries[k]) if isinstance(entries.get(k), str) else None) for k in ("Type", "Subtype")}
+            sizes = {"raw": len(value.raw), "decoded": len(doc.file.content(value))} if isinstance(value, Stream) else {}
+            yield [{"path": path, "object": at, "kind": kind, "keys": [str(k) for k in entries]} | said | sizes]
+
+    return _table(files, "path string, object int, kind string, type string, subtype string, keys array<string>, raw long, decoded long", make, password)
+
+
+def authenticated(files: DataFrame, password: str | Column) -> DataFrame:
+    """path, whether a password is needed at all, and what the password opens: 0 nothing, 1 none needed, 2 as user, 4 as owner."""
+
+    def make(path: str, content: bytes, word: str | None) -> Iterator[list[dict]]:
+        doc = opened(content)
+        yield [{"path": path, "needs_password": not doc.file.status, "status": doc.authenticate((word or "").encode())}]
+
+    return _table(files, "path string, needs_password boolean, status int", make, password)
 
 
 def rows_of(parsed_files: DataFrame, column: str) -> DataFrame:
     """The table `pages`, `label_ranges`, `outline` or `links` with the path of its document."""
     return parsed_files.select("path", F.explode(column).alias("r")).select("path", "r.*")
+
+
+def labels(parsed_files: DataFrame) -> DataFrame:
+    """path, page, label: the last range that starts at or before the page, or the page's number where none does.  Ranges and pages
+    stand in one row of the parsed table, so nothing is shuffled."""
+    of = F.expr("element_at(filter(label_ranges, r -> r.first <= p.page), -1)")
+    found = parsed_files.select("path", "label_ranges", F.explode("pages").alias("p")).where("p.page is not null")
+    found = found.select("path", F.col("p.page").alias("page"), F.when(F.exists("label_ranges", lambda r: r["first"] <= F.col("p.page")), of).alias("r"))
+    said = numerals.label(F.col("r.style"), F.col("r.prefix"), F.col("r.start") + F.col("page") - F.col("r.first"))
+    return found.select("path", "page", scalars.sanitized(F.when(F.col("r").isNull(), (F.col("page") + 1).cast("string")).otherwise(said)).alias("label"))
+
+
+def has_labels(parsed_files: DataFrame) -> DataFrame:
+    return parsed_files.select("path", (F.coalesce(F.size("label_ranges"), F.lit(0)) > 0).alias("has_labels"))
+
+
+def pages_with_label(parsed_files: DataFrame, label: str) -> DataFrame:
+    """path and page of every page with this label, in any case; an empty label finds none."""
+    import re
+
+    fits = F.col("label").rlike(r"\A(?iu:" + re.escape(label) + r")\z") if label else F.lit(False)
+    return labels(parsed_files).where(fits).select("path", "page")
+
+
+def page_sizes(parsed_files: DataFrame, dpi: float = 72.0, most_width: int = 0, most_height: int = 0) -> DataFrame:
+    """path, page, width and height in points and in pixels at this resolution, cut to the limits that are positive."""
+    pages = rows_of(parsed_files, "pages")
+    scale = geometry.scale_of(F.lit(dpi))
+    across, down = geometry.extent(F.col("width"), scale), geometry.extent(F.col("height"), scale)
+    across, down = (F.least(v, F.lit(most)) if most > 0 else v for v, most in ((across, most_width), (down, most_height)))
+    return pages.select("path", "page", "width", "height", across.alias("pixels_across"), down.alias("pixels_down"))
+
+
+def table_of_contents(parsed_files: DataFrame, dpi: float = 72.0) -> DataFrame:
+    """path, ord, depth, title, page, x, y in reading order, TOC_MOST entries a document at most; a parent counts before its children."""
+    scale = geometry.scale_of(F.lit(dpi))
+    at = lambda c: F.coalesce(geometry.to_pixels(F.col(c) * scale), F.lit(0)).alias(c)
+    return rows_of(parsed_files, "outline").where(F.col("ord") < TOC_MOST).select("path", "ord", "depth", scalars.sanitized(F.col("title")).alias("title"), "page", at("x"), at("y"))
+
+
+def public_links(parsed_files: DataFrame, dpi: float = 72.0) -> DataFrame:
+    """path, page, ord, uri, target, x, y and the rectangle in pixels: links that lead somewhere, LINKS_MOST a page at most, counted after
+    those that do not are gone.  The point is cut to the target page's image.  Pages and links of a document stand in one row."""
+    scale = geometry.scale_of(F.lit(dpi))
+    found = parsed_files.select("path", "pages", F.explode("links").alias("l")).select("path", "pages", "l.*")
+    own = F.expr("element_at(pages, page + 1)")
+    there = F.when(F.col("target") >= 0, F.expr("element_at(pages, greatest(target, 0) + 1)")).otherwise(own)
+    found = found.withColumns({"own": own, "there": there, "uri": F.when(F.col("target") >= 0, "").otherwise(scalars.sanitized(F.col("uri")))})
+    size = lambda of, side: geometry.extent(F.col(f"{of}.{side}"), scale)
+    box = geometry.scale_rect(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), scale, size("own", "width"), size("own", "height"))
+    point = lambda c, side: F.when(F.col("target") >= 0, F.coalesce(geometry.scale_point(F.col(c), scale, size("there", side)), F.lit(0))).otherwise(0).cast("long").alias(c)
+    made = found.where("target >= 0 or uri <> ''").select("path", "page", "ord", "uri", "target", point("x", "width"), point("y", "height"), *[v.alias(c) for v, c in zip(box, ("x0", "y0", "x1", "y1"), strict=True)])
+    from pyspark.sql import Window
+
+    # at most 65,536 links stand on a page
+    order = Window.partitionBy("path", "page").orderBy("ord")
+    return made.withColumn("n_", F.row_number().over(order)).where(F.col("n_") <= LINKS_MOST).drop("n_")

@@ -109,9 +109,10 @@ class Reader:
             return sign * float(body if body != b"." else b"0")
         if sign == 1 and (m := REFERENCE.match(self.data, self.at)):
             self.at = m.end()
-            return Ref(int(body), int(m[1]))
-        number = sign * int(body)
-        return number if abs(number) < 1 << 63 else float(number)
+            return Ref(int(body[-18:]), int(m[1][-18:]))
+        if len(body) > 18:  # more than 64 bits hold, perhaps: a real, and infinite from 310 digits on
+            return sign * float(body)
+        return sign * int(body)
 
     def _literal(self) -> bytes:
         out, depth, data = bytearray(), 1, self.data
@@ -178,6 +179,7 @@ class File:
         except (KeyError, TypeError, IndexError):
             return 0
         self.methods = {"StmF": method("StmF"), "StrF": method("StrF")}
+        self.open_metadata = plain.get("EncryptMetadata") is False
         self.cache = {}
         return status
 
@@ -189,6 +191,8 @@ class File:
         if isinstance(value, dict):
             return {k: self._decrypted(v, number, generation) for k, v in value.items()}
         if isinstance(value, Stream) and value.entries.get("Type") != "XRef":
+            if value.entries.get("Type") == "Metadata" and self.open_metadata:
+                return value
             return Stream(self._decrypted(value.entries, number, generation), self._plain(value.raw, "StmF", number, generation))
         return value
 

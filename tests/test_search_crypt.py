@@ -1,14 +1,20 @@
-from folioforge.operators.textsearch import Char, search, search_pages, with_line_flags
+from folioforge.operators.textsearch import PageText, search_pages, with_line_flags
+from folioforge.operators.textsearch import search as search_page
 from folioforge.sources import crypt
 
 
-def line(text, x=0.0, y=100.0, size=10.0, step=5.0):
-    return [Char(ord(c), (x + k * step, y - size, x + (k + 1) * step, y - size, x + k * step, y, x + (k + 1) * step, y), x + k * step, y, x + (k + 1) * step, y, size) for k, c in enumerate(text)]
+def line(text, x=0.0, y=100.0, size=10.0, step=5.0, axis=True):
+    """Rows (rune, quad, origin, end, size, axis)."""
+    return [(ord(c), [x + k * step, y - size, x + (k + 1) * step, y - size, x + k * step, y, x + (k + 1) * step, y], (x + k * step, y), (x + (k + 1) * step, y), size, axis) for k, c in enumerate(text)]
+
+
+def search(rows, needle, most=1000):
+    return search_page(PageText(*map(list, zip(*rows, strict=True))), needle, most)
 
 
 def test_matches_fold_case_and_do_not_overlap():
     assert len(search(line("aAaA"), "aa")) == 2 and search(line("abc"), "  ") == []
-    assert search(line("abc"), "BC") == [(5.0, 90.0, 15.0, 90.0, 5.0, 100.0, 15.0, 100.0)]
+    assert search(line("abc"), "BC") == [[5.0, 90.0, 15.0, 90.0, 5.0, 100.0, 15.0, 100.0]]
 
 
 def test_white_space_is_a_character_a_gap_or_a_line():
@@ -20,12 +26,20 @@ def test_white_space_is_a_character_a_gap_or_a_line():
 
 
 def test_taller_characters_split_quads_and_the_limit_counts_quads():
-    mixed = line("alpha") + [Char(32, (25.0, 60.0, 35.0, 60.0, 25.0, 110.0, 35.0, 110.0), 25.0, 100.0, 35.0, 100.0, 40.0)] + line("beta", x=35)
+    mixed = line("alpha") + [(32, [25.0, 60.0, 35.0, 60.0, 25.0, 110.0, 35.0, 110.0], (25.0, 100.0), (35.0, 100.0), 40.0, True)] + line("beta", x=35)
     assert len(search(mixed, "alpha beta")) == 3 and len(search(mixed, "alpha beta", 2)) == 2
 
 
+def test_small_steps_keep_the_first_height_and_turned_text_is_one_quad():
+    taller = line("ab", size=9.5) + line("cd", x=10, size=10.0)
+    assert search(taller, "abcd") == [[0.0, 90.5, 20.0, 90.5, 0.0, 100.0, 20.0, 100.0]]
+    turned = [(ord(c), [10.0, 5.0 * k, 10.0, 5.0 * k + 5, 0.0, 5.0 * k, 0.0, 5.0 * k + 5], (2.0, 5.0 * k), (2.0, 5.0 * k + 5), 10.0, False) for k, c in enumerate("turn")]
+    assert search(turned, "turn") == [[10.0, 0.0, 10.0, 20.0, 0.0, 0.0, 0.0, 20.0]]
+    assert search([(0, *line("x")[0][1:])], "x") == [] and search(line("ab ") + line("cd", y=120), "b cd") == [[5.0, 90.0, 15.0, 90.0, 5.0, 100.0, 15.0, 100.0], [0.0, 110.0, 10.0, 110.0, 0.0, 120.0, 10.0, 120.0]]
+
+
 def test_pages_as_tables(spark):
-    rows = [("d", p, k, c.rune, list(c.quad), c.ox, c.oy, c.ex, c.ey, c.size, c.axis) for p in (0, 1) for k, c in enumerate(line("find me") + line("again", y=130.0))]
+    rows = [("d", p, k, c[0], c[1], *c[2], *c[3], c[4], c[5]) for p in (0, 1) for k, c in enumerate(line("find me") + line("again", y=130.0))]
     chars = spark.createDataFrame(rows, "doc_id string, page_no int, seq long, rune int, quad array<double>, ox double, oy double, ex double, ey double, size double, axis boolean")
     assert search_pages(chars, "ME").count() == 2
     assert {r.line for r in with_line_flags(chars).select("line").distinct().collect()} == {0, 1}
