@@ -14,8 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import geometry, labels as numerals, scalars
-from . import cmaps
+from . import cmaps, shadings
 from .document import Document, Page
+from .images import about
 from .interpreter import characters, drawn
 from .objects import Damaged, Stream
 
@@ -218,3 +219,34 @@ def public_links(parsed_files: DataFrame, dpi: float = 72.0) -> DataFrame:
     # at most 65,536 links stand on a page
     order = Window.partitionBy("path", "page").orderBy("ord")
     return made.withColumn("n_", F.row_number().over(order)).where(F.col("n_") <= LINKS_MOST).drop("n_")
+
+
+def images(files: DataFrame, password: str | Column | None = None) -> DataFrame:
+    """Every image of every file: its object number, size, status, pixels (four bytes each) and how many are not clear."""
+
+    def make(path: str, content: bytes, word: str | None) -> Iterator[list[dict]]:
+        doc = opened(content, word)
+        for at, value in _objects(doc):
+            if isinstance(value, Stream) and value.entries.get("Subtype") == "Image":
+                yield [{"path": path, "object": at} | about(doc, value)]
+
+    return _table(files, "path string, object int, width int, height int, status string, stencil boolean, pixels binary, seen long", make, password)
+
+
+def shading_colours(files: DataFrame, password: str | Column | None = None) -> DataFrame:
+    """Every shading named in a page's resources: the stops of a ramp (x: its place from 0 to 1), the cells of a grid (x, y) or the corners of
+    triangles (n: three to each), with their colours."""
+
+    def rows(doc: Document, page: Page) -> list[dict]:
+        named = doc.file.get((doc.file.get(page.resources) or {}).get("Shading"))
+        out = []
+        for name, value in named.items() if isinstance(named, dict) else ():
+            try:
+                made = shadings.parsed(doc.file, value)
+            except shadings.NoShading:
+                continue
+            points = [(t, None, c) for t, c in made.stops] + made.grid + [(*p, c) for ps, cs in made.triangles for p, c in zip(ps, cs, strict=True)]
+            out += [{"page": page.number, "name": str(name), "kind": made.kind, "n": n, "x": x, "y": y, "red": c[0], "green": c[1], "blue": c[2]} for n, (x, y, c) in enumerate(points)]
+        return out
+
+    return _table(files, "path string, page int, name string, kind int, n int, x double, y double, red int, green int, blue int", _each_page(rows), password)

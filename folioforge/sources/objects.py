@@ -365,8 +365,8 @@ class File:
         self.cache[number] = value
         return value
 
-    def content(self, stream: Stream) -> bytes:
-        """A stream's decoded data; what cannot be decoded is empty."""
+    def stages(self, stream: Stream) -> list[tuple[str, dict]]:
+        """The filters of a stream, each with its parameters."""
         listed = lambda v: v if isinstance(v, list) else [v] if v is not None else []
         names = listed(self.get(stream.entries.get("Filter", stream.entries.get("F"))))
         given = listed(self.get(stream.entries.get("DecodeParms", stream.entries.get("DP"))))
@@ -374,11 +374,23 @@ class File:
         for k, name in enumerate(names):
             entries = self.get(given[k]) if k < len(given) else None
             stages.append((str(self.get(name)), {a: self.get(b) for a, b in entries.items()} if isinstance(entries, dict) else {}))
+        return stages
+
+    def content(self, stream: Stream) -> bytes:
+        """A stream's decoded data; what cannot be decoded is empty."""
         try:
-            return decoded(stream.raw, stages)
+            return decoded(stream.raw, self.stages(stream))
         except FilterError:
             return b""
 
+    def content_until(self, stream: Stream, stage: int) -> tuple[bytes, dict]:
+        """A stream's data before a filter, and that filter's parameters: for the codecs of images."""
+        stages = self.stages(stream)
+        try:
+            return decoded(stream.raw, stages[:stage]), stages[stage][1] if stage < len(stages) else {}
+        except FilterError:
+            return b"", {}
+
 
 def text_string(raw: bytes) -> str:
     """UTF-16 or UTF-8 by their marks, else the document encoding (which is Latin-1 but for its control range)."""
