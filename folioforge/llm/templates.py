@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .storage import written
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.DOTALL)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 #: Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,10 +33,14 @@ MARKS = frozenset("ad ads advert advertisement advertising adsbygoogle sponsor s
 
 
 class Element:
-    __slots__ = ("tag", "marked", "children", "parent", "hash")
+    """block: the nearest element, itself included, that is a block; hidden: whether it or one around it is no part of an article."""
+
+    __slots__ = ("tag", "marked", "children", "parent", "hash", "block", "hidden")
 
     def __init__(self, tag: str, marked: bool, parent):
         self.tag, self.marked, self.children, self.parent, self.hash = tag, marked, [], parent, 0
+        self.block = self if tag in BLOCKS or parent is None else parent.block
+        self.hidden = marked or tag in DROPPED or parent is not None and parent.hidden
 
 
 def marks(attributes: str) -> bool:
@@ -45,9 +49,15 @@ def marks(attributes: str) -> bool:
 
 
 def parse(text: str) -> Element:
-    """The element tree of a page, however badly it nests."""
+    """The element tree of a page, however badly it nests.  Every step up the tree closes an element, so the time is linear."""
     root = Element("#root", False, None)
     now, at = root, 0
+    opened: dict[str, int] = {}  # open elements of each tag
+
+    def up(e: Element) -> Element:
+        opened[e.tag] -= 1
+        return e.parent
+
     end = len(text)
     while at < end:
         m = TOKEN.search(text, at)
@@ -63,21 +73,20 @@ def parse(text: str) -> Element:
             continue
         tag = tag.lower()
         if m[1]:
-            up = now
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None:
-                now = up.parent
+            if opened.get(tag):
+                while now.tag != tag:
+                    now = up(now)
+                now = up(now)
             elif tag == "p":
                 now.children.append(Element("p", False, now))
             continue
-        if tag in BLOCKS and now.tag == "p" or tag in BLOCKS and _open_paragraph(now):
+        if tag in BLOCKS and now.block.tag == "p":  # nothing but inline elements inside an open paragraph
             while now.tag != "p":
-                now = now.parent
-            now = now.parent
+                now = up(now)
+            now = up(now)
         if tag in ENDS_ITSELF and now.tag in ENDS_ITSELF[tag]:
             while now.parent is not None and now.tag in ENDS_ITSELF[tag]:
-                now = now.parent
+                now = up(now)
         element = Element(tag, marks(m[3]), now)
         now.children.append(element)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
@@ -88,18 +97,12 @@ def parse(text: str) -> Element:
             at = close.end()
             continue
         now = element
+        opened[tag] = opened.get(tag, 0) + 1
     if at < end:
         now.children.append(text[at:])
     return root
 
 
-def _open_paragraph(now: Element) -> bool:
-    """Whether a p is open with nothing but inline elements inside."""
-    while now.parent is not None and now.tag not in BLOCKS:
-        now = now.parent
-    return now.tag == "p"
-
-
 def elements(root: Element) -> list[Element]:
     """All elements, each before its parent."""
     out, stack = [], [root]
@@ -122,15 +125,12 @@ def hashed(root: Element) -> list[Element]:
 
 def _article(root: Element) -> Element:
     """The article or main element with the most text; without one, the page."""
+    sizes: dict[int, int] = {}
     best, most = root, 0
-    for e in elements(root):
-        if e.tag in ("article", "main") and not e.marked:
-            up = e.parent
-            while up is not None and not (up.marked or up.tag in DROPPED):
-                up = up.parent
-            size = sum(len(c) for x in elements(e) for c in x.children if isinstance(c, str))
-            if up is None and (size > most or size == most and e.tag == "article" and best.tag == "main"):
-                best, most = e, size
+    for e in elements(root):  # each before its parent
+        size = sizes[id(e)] = sum(len(c) if isinstance(c, str) else sizes[id(c)] for c in e.children)
+        if e.tag in ("article", "main") and not e.hidden and (size > most or size == most and e.tag == "article" and best.tag == "main"):
+            best, most = e, size
     return best
 
 
@@ -247,7 +247,8 @@ def extracted(pages: DataFrame, least_pages: int = 5, id_column: str = "page_id"
     A subtree of a host is template if it stands on at least least_pages different pages of it, however many the host
     has; pages with equal HTML count once, so copies of an article do not make it template.  n_template: blocks that
     recurrence alone removed.  A null page is empty; a null or odd URL has the empty host.  White space of any kind
-    counts; a block without text gives no line.
+    counts; a block without text gives no line.  A quote that nothing closes ends with its tag.  Rows may repeat, an empty table gives
+    no rows, and the time for a page is linear in its length.
     """
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"\A[^/]*?://([^/?#]*)", 1))

@@ -347,6 +347,18 @@ def test_pages(spark):
     assert html.unescape("&amp;") == "&"
 
 
+def test_odd_markup_takes_linear_time():
+    import time
+
+    for text in ("<article>" * 30_000 + "x", "<b>" * 30_000 + "</i>" * 30_000 + "x", "<i>" * 30_000 + "<div></div>" * 30_000 + "x", "<p class=\"" * 20_000, "<li>" * 30_000):
+        began = time.time()
+        templates.hashed(root := templates.parse(text))
+        templates.cut(root)
+        assert time.time() - began < 10
+    cut = lambda t: templates.cut(templates.parse(t))[0]
+    assert cut('<p class="note>One</p><p>Two') == ["One", "Two"] and cut("<p title='a>b' class=\"c>d\">One</p>") == ["One"]
+
+
 def test_templates_do_not_depend_on_the_size_of_the_host(spark):
     """A notice on 5 pages goes from a host of 40 as from a host of 5; copies of one page are not template."""
     body = "<article><h1>Head {k}</h1><p>Text {k}</p>{more}</article>"
