@@ -1,6 +1,6 @@
 """Language labels of mixed text: script ranges, per-word scores, Viterbi with a switching penalty.
 
-The scripts of a word's letters leave the languages seen in them; hashed trigrams and the whole word give each of
+The script of a word's first letter leaves the languages seen in it; hashed trigrams and the whole word give each of
 these a log-likelihood; Viterbi then labels the words, paying a penalty for each switch, and runs of one label are
 spans.  The dynamic program runs over all texts of a chunk at once: blocks of 64 words are solved for every language
 that may come before them, and then joined text by text, which gives the same path as word by word.
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import mixed, slices, span_hashes, text_buffer
+from .arrays import _SPACE, mixed, slices, span_hashes, text_buffer
 from .bpe import LETTER, classes, code_points
 from .storage import written
 
@@ -207,6 +207,34 @@ class Model:
         return labels
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[int, int, int]]:
+    """(row, start, end) of parts of at most about `most` bytes, cut after white space, so that no word is cut."""
+    for row, (at, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        while end - at > most:
+            space = np.flatnonzero(_SPACE[data[at : at + most]])
+            if len(space):
+                cut = at + int(space[-1]) + 1
+            else:  # a word longer than that: up to where it ends
+                space = np.flatnonzero(_SPACE[data[at + most : end]])
+                cut = at + most + int(space[0]) + 1 if len(space) else end
+            yield row, at, cut
+            at = cut
+        yield row, at, end
+
+
+def word_scores(model: Model, data: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, length and scores of every word.  A long text is scored part by part: what stays of it is a row of scores a word."""
+    scored = lambda found: model.scores(*found) if len(found[0]) and model.languages else np.zeros((len(found[0]), len(model.languages)), np.float32)
+    if len(data) <= 2 * most:
+        row, *found = features(data, offsets)
+        return row, found[0], scored(found)
+    made = []
+    for k, a, b in pieces(data, offsets, most):
+        row, *found = features(data[a:b], np.array([0, b - a]))
+        made.append((row + k, found[0], scored(found)))
+    return tuple(np.concatenate(x) for x in zip(*made, strict=True))
+
+
 def _label(model_state: tuple, with_spans: bool):
     made: list[Model] = []
 
@@ -217,13 +245,13 @@ def _label(model_state: tuple, with_spans: bool):
         many = len(model.languages)
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
-            for part in slices(batch, most=CHUNK * FEW // max(many, FEW)):
+            most = CHUNK * FEW // max(many, FEW)
+            for part in slices(batch, most=most):
                 n = part.num_rows
-                row, size, script, word, of, gram = features(*text_buffer(part.column("text")))
+                row, size, scores = word_scores(model, *text_buffer(part.column("text")), most)
                 pred, score = np.full(n, many), np.zeros(n)
                 found: list[list[dict]] = [[] for _ in range(n)]
                 if len(row) and many:
-                    scores = model.scores(size, script, word, of, gram)
                     label = model.path(row, scores, n)
                     letters = np.bincount(row * many + label, weights=size, minlength=n * many).reshape(n, many)
                     likely = np.stack([np.bincount(row, weights=scores[:, k], minlength=n) for k in range(many)], axis=1)
@@ -270,7 +298,8 @@ def labelled(docs: DataFrame, model: tuple, carry: list[str] | None = None, span
     """struct row (columns in carry, by default all), lang_pred, score and, if asked for, spans of words.
 
     A text that is null or has no letter is `und` with score 0; so is every text if the model learned nothing.  score:
-    the share of letters in the language's spans; where all are, the posterior of the language.
+    the share of letters in the language's spans; where all are, the posterior of the language.  A text of any length is
+    labelled whole; rows may repeat, and an empty table gives no rows.
     """
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 

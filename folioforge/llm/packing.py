@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,12 +139,29 @@ def cut(plan: Schedule, queue: int, place: np.ndarray, size: np.ndarray) -> list
     return out
 
 
-def _tokens(path: str, end_id: int, wide: bool):
+def ids_of(texts: pa.Array, path: str, added: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts one after another, and where each text's begin.  Texts that name an added token of the vocabulary, which is
+    found before anything else, go through the tokenizer library itself."""
+    odd = np.zeros(len(texts), bool)
+    for token in added:
+        odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+    plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+    ids, first = encoder("merges", path).encode(*text_buffer(lowered(plain)))
+    if odd.any():
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        rows = [np.array(library.encode(texts[k].as_py(), add_special_tokens=False).ids, ids.dtype) if odd[k] else ids[first[k] : first[k + 1]] for k in range(len(texts))]
+        ids, first = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    return ids, first
+
+
+def _tokens(path: str, end_id: int, wide: bool, added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, part_no, used = encoder("merges", path), TaskContext.get().partitionId(), {}
+        part_no, used = TaskContext.get().partitionId(), {}
         for batch in batches:
             for part in slices(batch, most=3 << 19):
-                ids, first = made.encode(*text_buffer(lowered(part.column("text"))))
+                ids, first = ids_of(part.column("text"), path, added)
                 rows = part.num_rows
                 raw = np.insert(ids, first[1:], end_id).astype("<u4" if wide else "<u2").tobytes()
                 size = np.diff(first) + 1
@@ -189,18 +207,23 @@ def packed(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shar
     leave goes to all other sources in the proportions of the corpus, as by default all of it does.  Every source is a
     queue of its own.
     A null text is empty and gives the end id alone; a null source counts as one source of that kind; an empty table
-    gives no piece.  The driver and the tasks hold the schedule, a few numbers for each source.
+    gives no piece; rows may repeat, and a text of any length is cut wherever windows end.  The driver and the tasks hold the
+    schedule, a few numbers for each source.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     with open(path, encoding="utf-8") as file:
-        wide = len(json.load(file)["model"]["vocab"]) > 1 << 16
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("source"))
+        stored = json.load(file)
+    added = [t["content"] for t in stored.get("added_tokens", [])]
+    wide = max([*stored["model"]["vocab"].values(), *(t["id"] for t in stored.get("added_tokens", []))]) >= 1 << 16
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.col(source_column).cast("string").alias("source"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    tokens = written(rows.mapInArrow(_tokens(path, end_id, wide), f"doc_id {kind}, source string, part int, place long, doc_tokens long, ids binary"), "tokens")
+    # a null source is a source of its own: names are kept apart from it by a mark
+    rows = rows.withColumn("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    tokens = written(rows.mapInArrow(_tokens(path, end_id, wide, added), f"doc_id {kind}, source string, part int, place long, doc_tokens long, ids binary"), "tokens")
     parts = written(tokens.groupBy("source", "part").agg(F.sum("doc_tokens").alias("n")), "parts")
     totals = [(r["source"], r["n"]) for r in parts.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").collect()]
-    named = shares or {}
+    named = {f"={k}": v for k, v in (shares or {}).items()}
     rest = sum(n for source, n in totals if source not in named)
     left = max(0.0, 1 - sum(named.values()))
     targets = [named[source] if source in named else left * n / rest for source, n in totals]
@@ -210,4 +233,5 @@ def packed(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shar
     placed = written(parts.join(F.broadcast(queues), "source").withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n"), "places")
     rows = tokens.join(placed, ["source", "part"]).select("doc_id", "source", "queue", (F.col("place") + F.col("before")).alias("place"), "doc_tokens", "ids")
     last = "ids_crc32 long" if digest else "ids binary"
-    return rows.mapInArrow(_pieces(plan, wide, digest), f"doc_id {kind}, start long, length long, {last}, doc_tokens long, sequence_id long, offset long, source string")
+    made = rows.mapInArrow(_pieces(plan, wide, digest), f"doc_id {kind}, start long, length long, {last}, doc_tokens long, sequence_id long, offset long, source string")
+    return made.withColumn("source", F.when(F.col("source") != "", F.expr("substring(source, 2)")))

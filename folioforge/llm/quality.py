@@ -85,13 +85,34 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("stratum"), *(pa.array(c.astype(np.int64)) for c in counts)], names=["doc_id", "stratum", *COLUMNS])
 
 
+def _fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function, by Lentz's method."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    value = d
+    for m in range(1, 100_000):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + term * d
+            c = 1 + term / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            value *= d * c
+        if abs(d * c - 1) < 1e-13:
+            break
+    return value
+
+
 def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X binomial."""
+    """P(X <= k) for X binomial, by the incomplete beta function: the steps do not grow with k."""
     if p <= 0 or k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p) for j in range(k + 1)]
-    most = max(logs)
-    return min(1.0, math.exp(most) * sum(math.exp(x - most) for x in logs))
+    if p >= 1 or k < 0:
+        return 0.0
+    a, b, x = n - k, k + 1, 1 - p
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1) / (a + b + 2):
+        return min(1.0, front * _fraction(a, b, x) / a)
+    return min(1.0, max(0.0, 1 - front * _fraction(b, a, 1 - x) / b))
 
 
 def upper_bound_holds(rejected: int, n: int, limit: float, level: float) -> bool:
@@ -135,10 +156,11 @@ def judged(docs: DataFrame, labels: DataFrame, limit: float = 0.05, level: float
 
     labels: doc_id and quality (1 good). limit: the rate of good texts of a stratum that the learned rules may reject,
     with probability 1 - level for all strata at once.  A stratum with too few labels gets no learned rule.
-    A null text has no words; a null stratum is one of its own; a document labelled
-    twice counts as good if any label says so.
+    A null text has no words; a null stratum is one of its own (names have a mark before them); a document labelled
+    twice counts as good if any label says so; rows may repeat, an empty table gives no rows, and a text of any length is counted
+    whole, at some twenty times its size in memory.
     """
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(stratum_column).cast("string"), F.lit("")).alias("stratum"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(stratum_column).cast("string")), F.lit("")).alias("stratum"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     counts = written(rows.mapInArrow(_measure, f"doc_id {kind}, stratum string, " + ", ".join(f"{c} long" for c in COLUMNS)), "counts")
     words = F.greatest(F.col("n_words"), F.lit(1))

@@ -42,7 +42,7 @@ _STEPS = _steps()
 
 def _letters(value: str) -> float:
     """Bits of a character, from the kinds that the value uses."""
-    size = 26 * any("a" <= c <= "z" for c in value) + 26 * any("A" <= c <= "Z" for c in value) + 10 * any("0" <= c <= "9" for c in value) + 32 * any(not c.isalnum() for c in value)
+    size = 26 * any("a" <= c <= "z" for c in value) + 26 * any("A" <= c <= "Z" for c in value) + 10 * any("0" <= c <= "9" for c in value) + 32 * any(c.isascii() and not c.isalnum() for c in value) + 100 * any(not c.isascii() for c in value)
     return math.log2(max(size, 2))
 
 
@@ -128,11 +128,31 @@ def _scan(least_bits: float):
     return run
 
 
+def clean(text: str, least_bits: float = 45.0) -> str:
+    """The text with every span replaced by <kind>; overlapping spans, together, by the first of them."""
+    out, at = [], 0
+    for start, end, kind in spans(text, least_bits):
+        if start >= at:
+            out += [text[at:start], f"<{kind}>"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def _clean(least_bits: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t is None else clean(t, least_bits) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+
+    return run
+
+
 def scanned(docs: DataFrame, least_bits: float = 45.0, text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
     """struct row (the columns in carry, by default all) and found: array of (start, end, kind) in code points.
 
     Kinds assign, access and hex are fixed patterns; guess is a whole value in credential context of at least
-    least_bits, unless one of those covers all of it; it may overlap them.  A null or empty text has none.  Rows need no shuffle.
+    least_bits, unless one of those covers all of it; it may overlap them.  A null or empty text has none; rows may repeat, and a
+    text of any length is read whole.  Rows need no shuffle.
     """
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
@@ -142,10 +162,14 @@ def scanned(docs: DataFrame, least_bits: float = 45.0, text_column: str = "text"
 
 
 def redacted(docs: DataFrame, least_bits: float = 45.0, text_column: str = "text") -> DataFrame:
-    """docs with every span of the text replaced by <kind>; overlapping spans, together, by the first of them."""
-    made = scanned(docs, least_bits, text_column)
-    text = F.col(f"row.`{text_column}`")
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
-    step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">")).alias("text"), s["end"].alias("at"))).otherwise(F.struct(acc["text"].alias("text"), F.greatest(acc["at"], s["end"]).alias("at")))
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return made.select(*[(F.when(F.size("found") > 0, clean).otherwise(text).alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c)) for c in docs.columns])
+    """docs with every span of the text replaced by <kind>; overlapping spans, together, by the first of them.
+
+    A null text stays null; rows may repeat, a text of any length is read whole, and an empty table gives no rows.
+    """
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    others = [c for c in docs.columns if c != text_column]
+    row = F.struct(*([F.col(f"`{c}`") for c in others] or [F.lit(None).cast("int").alias("nothing")])).alias("row")
+    rows = docs.select(row, F.col(f"`{text_column}`").cast("string").alias("text"))
+    made = rows.mapInArrow(_clean(least_bits), StructType([rows.schema["row"], StructField("text", StringType())]))
+    return made.select(*[F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

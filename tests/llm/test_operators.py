@@ -518,6 +518,43 @@ def test_labels_word_by_word_equal_those_over_blocks():
     assert (model.path(row, scores, len(sizes)) == model.path_by_word(row, scores, len(sizes))).all()
 
 
+def test_long_texts_are_scored_in_parts_like_whole_ones():
+    import numpy as np
+
+    pick = np.random.default_rng(5)
+    texts = ["", " ".join("".join(chr(97 + c) for c in pick.integers(0, 26, pick.integers(1, 9))) for _ in range(3000)), "x" * 5000 + " y", "été\nthe"]
+    data, offsets = langid.text_buffer(langid.pa.array(texts))
+    model = langid.Model(["a", "b"], pick.integers(0, 9, (2, 2 * langid.BUCKETS + len(langid.NAMES))).astype(np.float32), 3.0)
+    for a, b in zip(langid.word_scores(model, data, offsets, 1 << 20), langid.word_scores(model, data, offsets, 700), strict=True):
+        assert a.shape == b.shape and np.allclose(a, b)
+
+
+def test_binomial_tails():
+    import math
+
+    for n, p in ((1, 0.5), (20, 0.01), (500, 0.03), (3000, 0.4)):
+        for k in {0, 1, n // 50, n // 3, n - 1}:
+            exact = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)) for j in range(k + 1))
+            assert abs(quality.binomial_cdf(k, n, p) - min(1, exact)) < 1e-8, (n, p, k)
+    assert 0.4 < quality.binomial_cdf(100_000, 10_000_000, 0.01) < 0.6 and quality.binomial_cdf(-1, 5, 0.5) == 0
+
+
+def test_added_tokens_are_the_library_s(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["a <|endoftext|> b", "<|startoftext|><|endoftext|>", "plain Text", "", "<|ENDOFTEXT|>"]
+    ids, first = packing.ids_of(packing.pa.array(texts), path, ["<|startoftext|>", "<|endoftext|>"])
+    library = Tokenizer.from_file(path)
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    rows = spark.createDataFrame([(1, "a b", None), (2, "a b", ""), (3, texts[0], "x"), (3, texts[0], "x")], "doc_id long, text string, source string")
+    assert {(r.doc_id, r.source) for r in packing.packed(rows, path).collect()} == {(1, None), (2, ""), (3, "x")}
+
+
+def test_letters_outside_ascii_cost_guesses():
+    assert secrets.guess_bits("жщцюэыйхъ") > 45 and secrets.clean("pwd: жщцюэыйхъ!") == "pwd: <guess>"
+
+
 def test_every_stratum_has_cutoffs(spark):
     """The stratum with the fewest labels of 301 has enough of them, and none of its good texts has a symbol."""
     words = lambda x: " ".join(f"{x}w{k}" for k in range(60))
