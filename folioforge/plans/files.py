@@ -198,3 +198,12 @@ def file_status(spark, sf_dir):
     body = _said(head, "\n1 0 obj\n", _ROOT, "\nendobj\n2 0 obj\n<< /Kids [] >>\nendobj\ntrailer << /Root 1 0 R >>")
     files = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.encode(body, "ISO-8859-1").alias("content"))
     return docs.parsed(files).select(_KEY, F.split("status", ":")[0].alias("status"))
+
+
+@query("SELECT p_partkey, 200 AS width, 100 AS height, ((p_size % 100 + 1) * least(50, p_partkey % 60))::BIGINT AS black, (20000 - (p_size % 100 + 1) * least(50, p_partkey % 60))::BIGINT AS white FROM part")
+def file_rendering(spark, sf_dir):
+    """Pixels of a black rectangle on white paper."""
+    files = _page(spark, sf_dir, _said("0 0 ", F.col("p_size") % 100 + 1, " ", F.least(F.lit(50), F.col("p_partkey") % 60), " re f"))
+    made = docs.rendered_pages(files).withColumn("all", F.hex("pixels"))
+    count = lambda colour: F.floor((F.length("all") - F.length(F.replace(F.col("all"), F.lit(colour), F.lit("")))) / 8).alias
+    return made.select(_KEY, "width", "height", count("000000FF")("black"), count("FFFFFFFF")("white"))

@@ -19,6 +19,7 @@ from .document import Document, Page
 from .images import about
 from .interpreter import characters, drawn
 from .objects import Damaged, Stream
+from .raster import rendered
 
 TOC_MOST, LINKS_MOST, AREA_MOST = 1000, 1000, 268_435_456
 SCHEMA = """path string, status string, page_count int, repaired boolean,
@@ -250,3 +251,40 @@ def shading_colours(files: DataFrame, password: str | Column | None = None) -> D
         return out
 
     return _table(files, "path string, page int, name string, kind int, n int, x double, y double, red int, green int, blue int", _each_page(rows), password)
+
+
+def rendered_pages(files: DataFrame, dpi: float = 72.0, most_width: int = 0, most_height: int = 0, password: str | Column | None = None) -> DataFrame:
+    """Every page as pixels: path, page, width, height and four bytes (red, green, blue, alpha) a pixel; a page of no or too large a size has no row."""
+    scale = min(max(dpi, 1.0) / 72.0, 10.0)
+
+    def rows(doc: Document, page: Page) -> list[dict]:
+        made = rendered(doc, page, scale, most_width, most_height)
+        return [] if made is None else [{"page": page.number, "width": made.shape[1], "height": made.shape[0], "pixels": made.tobytes()}]
+
+    return _table(files, "path string, page int, width int, height int, pixels binary", _each_page(rows), password)
+
+
+def pixel_differences(one: DataFrame, other: DataFrame) -> DataFrame:
+    """path, page, and of all bytes of two renderings of a page: the share over 8 and over 24 apart, and the mean and largest distance;
+    pages of different sizes have no numbers."""
+    both = one.alias("a").join(other.alias("b"), ["path", "page"]).select("path", "page", F.when((F.col("a.width") == F.col("b.width")) & (F.col("a.height") == F.col("b.height")), F.struct(F.col("a.pixels").alias("a"), F.col("b.pixels").alias("b"))).alias("p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            out: list[list[float | None]] = []
+            for p in batch.column("p").to_pylist():
+                if p is None:
+                    out.append([None] * 4)
+                    continue
+                d = np.abs(np.frombuffer(p["a"], np.uint8).astype(np.int16) - np.frombuffer(p["b"], np.uint8))
+                out.append([float((d > 8).mean()), float((d > 24).mean()), float(d.mean()), float(d.max())])
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("page"), *(pa.array([r[k] for r in out], pa.float64()) for k in range(4))], names=["path", "page", "over8", "over24", "mean", "most"])
+
+    return both.mapInArrow(run, "path string, page int, over8 double, over24 double, mean double, most double")
+
+
+def within_thresholds(differences: DataFrame, over8: float = 0.10, over24: float = 0.02, mean: float = 2.0) -> DataFrame:
+    """differences with `passes`: whether a page keeps within the limits; a page without numbers does not."""
+    return differences.withColumn("passes", F.coalesce((F.col("over8") <= over8) & (F.col("over24") <= over24) & (F.col("mean") <= mean), F.lit(False)))

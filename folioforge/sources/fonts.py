@@ -7,6 +7,7 @@ from bisect import bisect_right
 
 from . import cmaps, glyphs, metrics
 from .objects import File, Name, Stream
+from .truetype import NoProgram, TrueType
 
 WIDTHS_MOST = 256
 
@@ -94,6 +95,8 @@ class Font:
         down = get("DW2")
         down = [number(file.get(v)) for v in down[:2]] if isinstance(down, list) and len(down) >= 2 else [880.0, -1000.0]
         self.default_down = (880.0 if down[0] is None else down[0], -1000.0 if down[1] is None else down[1])
+        numbers = get("CIDToGIDMap")
+        self.glyph_numbers = file.content(numbers) if isinstance(numbers, Stream) else b""
         self.across, self.down = spans(self._ranges(get("W"), 1)), spans(self._ranges(get("W2"), 3))
 
     def _ranges(self, value, size: int) -> list[tuple[int, int, tuple[float, ...]]]:
@@ -126,6 +129,9 @@ class Font:
             return (found[0] if found else self.default) / 1000
         if code in self.widths or self.has_widths:
             return self.widths.get(code, self.missing) / 1000
+        if self.program() is not None:
+            known = self.program().advance(self.glyph(code, size))
+            return self.missing / 1000 if known is None else known
         known = metrics.width(self.standard, self.texts.get(code, ""), self.afm)
         return (self.missing if known is None else known) / 1000
 
@@ -137,6 +143,29 @@ class Font:
             return found[0] / 1000, found[1] / 1000, found[2] / 1000
         return self.default_down[1] / 1000, self.width(code, size) / 2, self.default_down[0] / 1000
 
+    def program(self) -> TrueType | None:
+        """The TrueType program in the file, if there is one."""
+        if not hasattr(self, "_program"):
+            held = self.file.get(self.info.get("FontFile2")) if self.info else None
+            try:
+                self._program = TrueType(self.file.content(held)) if isinstance(held, Stream) else None
+            except NoProgram:
+                self._program = None
+        return self._program
+
+    def glyph(self, code: int, size: int = 1) -> int:
+        """The number of a code's glyph in the program."""
+        if self.wide:
+            cid = self.codes.cid(code, size)
+            return int.from_bytes(self.glyph_numbers[2 * cid : 2 * cid + 2], "big") if self.glyph_numbers else cid
+        made = self.program()
+        return made.glyph(code, self.texts.get(code, "")) if made else 0
+
+    def path(self, code: int, size: int = 1) -> list[tuple]:
+        """The outline of a code's glyph in ems; none where the file holds no TrueType program."""
+        made = self.program()
+        return made.path(self.glyph(code, size)) if made else []
+
     def text(self, code: int, size: int = 1) -> str:
         """What a code shows; empty if nothing is known."""
         if self.map is not None and (said := self.map.text(code, size)) is not None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field, replace
 
-from . import colours, fonts
+from . import colours, fonts, formulas
 from .content import contents, operations
 from .document import Document, Page
 from .objects import Name, Stream
@@ -116,7 +116,15 @@ class Interpreter:
     def painted(self, fill: bool) -> dict:
         s = self.state
         paint, alpha = (s.fill, s.fill_alpha) if fill else (s.stroke, s.stroke_alpha)
-        return {"red": paint.rgb[0] if paint.rgb else None, "green": paint.rgb[1] if paint.rgb else None, "blue": paint.rgb[2] if paint.rgb else None, "pattern": paint.pattern, "alpha": alpha, "blend": s.blend}
+        return self._shading_of(paint) | {"red": paint.rgb[0] if paint.rgb else None, "green": paint.rgb[1] if paint.rgb else None, "blue": paint.rgb[2] if paint.rgb else None, "pattern": paint.pattern, "alpha": alpha, "blend": s.blend}
+
+    def _shading_of(self, paint: Paint) -> dict:
+        """What a painter needs for a pattern that is a shading."""
+        found = self.named("Pattern", paint.pattern) if paint.pattern is not None and self.draw else None
+        entries = found.entries if isinstance(found, Stream) else found
+        if not isinstance(entries, dict) or self.get(entries.get("PatternType")) != 2:
+            return {}
+        return {"_shading": entries.get("Shading"), "_pattern_matrix": list(times(self._matrix(self.get(entries.get("Matrix"))), page_matrix(self.page)))}
 
     def marks(self, fill: bool) -> bool:
         paint = self.state.fill if fill else self.state.stroke
@@ -258,14 +266,16 @@ class Interpreter:
     def paint(self, fill: str | None, stroke: bool, closes: bool) -> None:
         if closes:
             self.close(None)
+        path, m = self.path, self.state.ctm
+        unit = math.sqrt(abs(m[0] * m[3] - m[1] * m[2]))
         if self.path:
             if fill and self.marks(True):
-                self._drawn(lambda: self.emit("FillPath", path_box(self.path), path_data=written(self.path), even_odd=fill == "f*", **self.painted(True)), True)
+                self._drawn(lambda: self.emit("FillPath", path_box(self.path), path_data=written(self.path), even_odd=fill == "f*", **self.painted(True), _path=list(path)), True)
             if stroke and self.marks(False):
                 s = self.state
-                self._drawn(lambda: self.emit("StrokePath", path_box(self.path), path_data=written(self.path), line_width=s.width, cap=s.cap, join=s.join, miter=s.miter, dash=list(s.dash), phase=s.phase, **self.painted(False)), False)
+                self._drawn(lambda: self.emit("StrokePath", path_box(self.path), path_data=written(self.path), line_width=s.width, cap=s.cap, join=s.join, miter=s.miter, dash=list(s.dash), phase=s.phase, **self.painted(False), _path=list(path), _unit=unit), False)
         if self.pending:
-            self.emit("ClipPath", path_box(self.path) if self.path else (0.0,) * 4, path_data=written(self.path), even_odd=self.pending == "W*")
+            self.emit("ClipPath", path_box(self.path) if self.path else (0.0,) * 4, path_data=written(self.path), even_odd=self.pending == "W*", _path=list(path))
             self.state.clips += 1
         self.path, self.at, self.start, self.pending = [], None, None, None
 
@@ -285,7 +295,7 @@ class Interpreter:
         if not isinstance(group, Stream) or self.depth >= FORMS_MOST or id(group) in self.active:
             return False
         kind = str(self.get(mask.get("S")))
-        self.emit("BeginMask", name=kind)
+        self.emit("BeginMask", name=kind, **self._mask_rules(mask, group))
         self.out.level += 1
         held, self.state.mask = self.state.mask, None
         self._form(group, self.state.mask_ctm, fresh=True)
@@ -294,6 +304,24 @@ class Interpreter:
         self.emit("EndMask")
         return True
 
+    def _mask_rules(self, mask: dict, group: Stream) -> dict:
+        """The colour behind a luminosity group, and what turns its values into those of the mask."""
+        if not self.draw:
+            return {}
+        about = self.get(group.entries.get("Group"))
+        space = colours.space(self.doc.file, about.get("CS")) if isinstance(about, dict) else None
+        given, turn = self.get(mask.get("BC")), self.get(mask.get("TR"))
+        numbers = [fonts.number(self.get(v)) for v in given] if isinstance(given, list) else []
+        behind = space.rgb(numbers) if space and len(numbers) == space.size and None not in numbers else (0, 0, 0)
+        table = None
+        if turn is not None and turn != "Identity":
+            try:
+                rule = formulas.parsed(self.doc.file, turn)
+                table = [colours.unit(rule([k / 255])[0]) for k in range(256)]
+            except (formulas.NoFunction, IndexError):
+                pass
+        return {"_behind": behind or (0, 0, 0), "_turn": table}
+
     def _tile(self, paint: Paint) -> None:
         cell = self.named("Pattern", paint.pattern)
         if not isinstance(cell, Stream) or self.depth >= FORMS_MOST or id(cell) in self.active:
@@ -305,7 +333,7 @@ class Interpreter:
         if get("PatternType") != 1 or None in steps or 0 in steps or None in box:
             return
         base = times(matrix, page_matrix(self.page))
-        self.emit("BeginTile", box_of(base, box), name=paint.pattern, matrix=list(base), width=None, steps=[abs(s) for s in steps])
+        self.emit("BeginTile", box_of(base, box), name=paint.pattern, matrix=list(base), width=None, steps=[abs(s) for s in steps], _box=box)
         self.out.level += 1
         inner = self.called(get("Resources"), base, id(cell))
         inner.state = State(base)
@@ -380,7 +408,8 @@ class Interpreter:
             inner.state.fill_alpha = inner.state.stroke_alpha = 1.0
             inner.state.blend, inner.state.mask = "Normal", None
         if clip:
-            self.emit("ClipPath", clip, path_data=written([("M", *apply(made, sides[0], sides[1])), *(("L", *apply(made, x, y)) for x, y in ((sides[2], sides[1]), (sides[2], sides[3]), (sides[0], sides[3]))), ("Z",)]), even_odd=False)
+            around = [("M", *apply(made, sides[0], sides[1])), *(("L", *apply(made, x, y)) for x, y in ((sides[2], sides[1]), (sides[2], sides[3]), (sides[0], sides[3]))), ("Z",)]
+            self.emit("ClipPath", clip, path_data=written(around), even_odd=False, _path=around)
             inner.state.clips = 1
         inner.run(self.doc.file.content(form))
         if grouped:
@@ -395,7 +424,7 @@ class Interpreter:
         stencil = get("ImageMask") is True
         if stencil and not self.marks(True):
             return
-        draw = lambda: self.emit("FillImageMask" if stencil else "FillImage", box_of(self.state.ctm, (0, 0, 1, 1)), name=name, width=width, height=height, matrix=list(self.state.ctm), **(self.painted(True) if stencil else {"alpha": self.state.fill_alpha, "blend": self.state.blend}))
+        draw = lambda: self.emit("FillImageMask" if stencil else "FillImage", box_of(self.state.ctm, (0, 0, 1, 1)), name=name, width=width, height=height, matrix=list(self.state.ctm), _image=image, _spaces=self.get(self.resources.get("ColorSpace")), **(self.painted(True) if stencil else {"alpha": self.state.fill_alpha, "blend": self.state.blend}))
         self._drawn(draw, True if stencil else None)
 
     def shade(self, args) -> None:
@@ -403,7 +432,7 @@ class Interpreter:
         entries = found.entries if isinstance(found, Stream) else found
         kind = self.get(entries.get("ShadingType"))
         if kind in range(1, 8):
-            self._drawn(lambda: self.emit("FillShading", None, name=str(args[-1]), width=kind, matrix=list(self.state.ctm), alpha=self.state.fill_alpha, blend=self.state.blend), None)
+            self._drawn(lambda: self.emit("FillShading", None, name=str(args[-1]), width=kind, matrix=list(self.state.ctm), _shading=found, alpha=self.state.fill_alpha, blend=self.state.blend), None)
 
     # text
 
@@ -483,24 +512,25 @@ class Interpreter:
                         break
                     trm, advance = self._placed(code, size)
                     if finite(trm):
-                        shown.append((s.font.text(code, size), trm, advance))
+                        shown.append((s.font.text(code, size), trm, advance, code, size))
             elif (kern := fonts.number(item)) is not None:
                 self._advance(-kern / 1000 * s.size, s.font.vertical)
         if not shown:
             return
-        for text, trm, advance in shown:
+        for text, trm, advance, _, _ in shown:
             corners += self._record(text, trm, advance)
+        drawing = [(s.font, code, size, trm) for _, trm, _, code, size in shown] if self.draw else []
         xs, ys = corners[::2], corners[1::2]
         box = (min(xs), min(ys), max(xs), max(ys))
-        said = "".join(t for t, _, _ in shown)
+        said = "".join(r[0] for r in shown)
         if s.mode in (0, 2, 4, 6) and self.marks(True):
-            self._drawn(lambda: self.emit("FillText", box, text=said, font=s.font.base, size=s.size, **self.painted(True)), True)
+            self._drawn(lambda: self.emit("FillText", box, text=said, font=s.font.base, size=s.size, **self.painted(True), _glyphs=drawing), True)
         if s.mode in (1, 2, 5, 6) and self.marks(False):
-            self._drawn(lambda: self.emit("StrokeText", box, text=said, font=s.font.base, size=s.size, line_width=s.width, **self.painted(False)), False)
+            self._drawn(lambda: self.emit("StrokeText", box, text=said, font=s.font.base, size=s.size, line_width=s.width, **self.painted(False), _glyphs=drawing), False)
         if s.mode == 3:
             self.emit("IgnoreText", box, text=said, font=s.font.base, size=s.size)
         if s.mode >= 4:
-            self.emit("ClipText", box, text=said, font=s.font.base, size=s.size)
+            self.emit("ClipText", box, text=said, font=s.font.base, size=s.size, _glyphs=drawing)
             self.text_clip = True
 
     def _placed(self, code: int, size: int) -> tuple[Matrix, float]:
