@@ -5,11 +5,26 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 
-from . import cmaps, glyphs, metrics
+from . import charstrings, cmaps, glyphs, metrics
 from .objects import File, Name, Stream
 from .truetype import NoProgram, TrueType
 
 WIDTHS_MOST = 256
+#: Where a descriptor may hold a program, in the order of preference, and what it may be.
+PROGRAMS = {"FontFile2": (TrueType,), "FontFile3": (charstrings.Cff, TrueType), "FontFile": (charstrings.TypeOne,)}
+
+
+def compact(data: bytes) -> bytes:
+    """The CFF table of an OpenType file, or the data itself."""
+    if data[:4] != b"OTTO":
+        return data
+    count = int.from_bytes(data[4:6], "big")
+    for k in range(min(count, 64)):
+        entry = data[12 + 16 * k : 28 + 16 * k]
+        if entry[:4] == b"CFF ":
+            at, size = int.from_bytes(entry[8:12], "big"), int.from_bytes(entry[12:16], "big")
+            return data[at : at + size]
+    return data
 
 
 def number(value) -> float | None:
@@ -59,6 +74,7 @@ class Font:
         file = self.file
         own = file.get(self.entries.get("Encoding"))
         base, changes = (file.get(own.get("BaseEncoding")), file.get(own.get("Differences"))) if isinstance(own, dict) else (own, None)
+        self.named = base is not None or isinstance(own, dict)
         own_codes = self.standard == "Symbol" and base is None
         self.texts = {} if self.three else metrics.symbols() if own_codes else dict(glyphs.encoding(str(base or "")))
         self.names: dict[int, str] = {}
@@ -130,7 +146,7 @@ class Font:
         if code in self.widths or self.has_widths:
             return self.widths.get(code, self.missing) / 1000
         if self.program() is not None:
-            known = self.program().advance(self.glyph(code, size))
+            known = self.own_advance(code, size)
             return self.missing / 1000 if known is None else known
         known = metrics.width(self.standard, self.texts.get(code, ""), self.afm)
         return (self.missing if known is None else known) / 1000
@@ -143,28 +159,46 @@ class Font:
             return found[0] / 1000, found[1] / 1000, found[2] / 1000
         return self.default_down[1] / 1000, self.width(code, size) / 2, self.default_down[0] / 1000
 
-    def program(self) -> TrueType | None:
-        """The TrueType program in the file, if there is one."""
+    def program(self) -> TrueType | charstrings.Cff | charstrings.TypeOne | None:
+        """The font program in the file, if there is one that can be read."""
         if not hasattr(self, "_program"):
-            held = self.file.get(self.info.get("FontFile2")) if self.info else None
-            try:
-                self._program = TrueType(self.file.content(held)) if isinstance(held, Stream) else None
-            except NoProgram:
-                self._program = None
+            self._program = None
+            for key, kinds in PROGRAMS.items():
+                held = self.file.get(self.info.get(key)) if self.info else None
+                data = self.file.content(held) if isinstance(held, Stream) and self._program is None else b""
+                for kind in kinds if data else ():
+                    try:
+                        self._program = kind(compact(data) if kind is charstrings.Cff else data)
+                        break
+                    except (NoProgram, charstrings.NoProgram):
+                        continue
         return self._program
 
-    def glyph(self, code: int, size: int = 1) -> int:
-        """The number of a code's glyph in the program."""
+    def glyph(self, code: int, size: int = 1):
+        """A code's glyph in the program."""
+        made = self.program()
         if self.wide:
             cid = self.codes.cid(code, size)
-            return int.from_bytes(self.glyph_numbers[2 * cid : 2 * cid + 2], "big") if self.glyph_numbers else cid
-        made = self.program()
-        return made.glyph(code, self.texts.get(code, "")) if made else 0
+            if self.glyph_numbers:
+                return int.from_bytes(self.glyph_numbers[2 * cid : 2 * cid + 2], "big")
+            return made.glyph_of.get(cid, 0) if isinstance(made, charstrings.Cff) and made.by_cid else cid
+        text = self.texts.get(code, "")
+        if isinstance(made, TrueType):
+            return made.glyph(code, text)
+        return made.glyph(code, self.names.get(code, ""), text if self.named else "") if made else 0
 
     def path(self, code: int, size: int = 1) -> list[tuple]:
-        """The outline of a code's glyph in ems; none where the file holds no TrueType program."""
+        """The outline of a code's glyph in ems; none where the file holds no program."""
+        made = self.program()
+        if made is None:
+            return []
+        glyph = self.glyph(code, size)
+        return made.path(glyph) if isinstance(made, TrueType) else made.drawn(glyph)[0]
+
+    def own_advance(self, code: int, size: int = 1) -> float | None:
         made = self.program()
-        return made.path(self.glyph(code, size)) if made else []
+        glyph = self.glyph(code, size)
+        return made.advance(glyph) if isinstance(made, TrueType) else made.drawn(glyph)[1]
 
     def text(self, code: int, size: int = 1) -> str:
         """What a code shows; empty if nothing is known."""
