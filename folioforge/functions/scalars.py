@@ -60,11 +60,23 @@ def bilinear(x: Column, y: Column, table: list[list[float]]) -> Column:
     return at(0, 0) * (1 - a) * (1 - b) + at(1, 0) * a * (1 - b) + at(0, 1) * (1 - a) * b + at(1, 1) * a * b
 
 
+def _whole(a: Column, b: Column, rule) -> Column:
+    """A rule of two numbers cut to whole ones; null where the second is 0."""
+    m, n = (F.signum(v) * F.floor(F.abs(v)) for v in (a, b))
+    return rule(m, F.nullif(n, F.lit(0.0))).cast("double")
+
+
+def _low(a: Column) -> Column:
+    """The lowest 32 bits as a signed number."""
+    return (F.pmod(a + 2147483648.0, F.lit(4294967296.0)) - 2147483648.0).cast("double")
+
+
 def calculator(program: str, *inputs: Column) -> list[Column]:
     """A stack program as columns: stack operators act while the expression is built, arithmetic when it runs.
 
-    Operators: add sub mul div neg abs sqrt ceiling floor round truncate sin cos atan exp ln log dup exch pop copy
-    index roll eq ne gt ge lt le and or not true false, numbers, and { } { } ifelse, { } if.
+    Operators: add sub mul div idiv mod neg abs sqrt ceiling floor round truncate cvi cvr sin cos atan exp ln log bitshift dup
+    exch pop copy index roll eq ne gt ge lt le and or xor not true false, numbers, and { } { } ifelse, { } if.  and, or, xor and
+    not take truth values here; a whole division by 0 is null.
     """
     stack: list = list(inputs)
     words = program.replace("{", " { ").replace("}", " } ").split()
@@ -81,6 +93,10 @@ def calculator(program: str, *inputs: Column) -> list[Column]:
         "ge": lambda a, b: a >= b,
         "lt": lambda a, b: a < b,
         "le": lambda a, b: a <= b,
+        "idiv": lambda a, b: _whole(a, b, lambda m, n: F.signum(m * n) * F.floor(F.abs(m) / F.abs(n))),
+        "mod": lambda a, b: _whole(a, b, lambda m, n: F.signum(m) * (F.abs(m) - F.floor(F.abs(m) / F.abs(n)) * F.abs(n))),
+        "xor": lambda a, b: a != b,
+        "bitshift": lambda a, b: F.when(F.abs(b) >= 32, F.lit(0.0)).when(b >= 0, _low(a * F.pow(F.lit(2.0), b))).otherwise(F.floor(F.pmod(a, F.lit(4294967296.0)) / F.pow(F.lit(2.0), -b)).cast("double")),
         "and": lambda a, b: a & b,
         "or": lambda a, b: a | b,
     }
@@ -90,7 +106,9 @@ def calculator(program: str, *inputs: Column) -> list[Column]:
         "sqrt": F.sqrt,
         "ceiling": lambda a: F.ceil(a).cast("double"),
         "floor": lambda a: F.floor(a).cast("double"),
-        "round": lambda a: F.floor(a + 0.5).cast("double"),
+        "round": lambda a: (F.signum(a) * F.floor(F.abs(a) + 0.5)).cast("double"),
+        "cvi": lambda a: F.when(F.isnan(a), F.lit(0.0)).otherwise(F.greatest(F.least(F.signum(a) * F.floor(F.abs(a)), F.lit(2147483647.0)), F.lit(-2147483648.0))),
+        "cvr": lambda a: a.cast("double"),
         "truncate": lambda a: (F.signum(a) * F.floor(F.abs(a))).cast("double"),
         "sin": lambda a: F.sin(F.radians(a)),
         "cos": lambda a: F.cos(F.radians(a)),

@@ -298,20 +298,26 @@ def inherit_nearest(spark, sf_dir):
 
 # ---- search
 
+def _counted(rows: DataFrame, needle: str) -> DataFrame:
+    """rows without their text, with the number of hits where there are any: within a row, without a shuffle."""
+    found = F.size(F.regexp_extract_all("text", F.lit(rel.needle_pattern(needle)), F.lit(0))).cast("long")
+    return rows.withColumn("n", found).drop("text").where("n > 0")
+
+
 @query("SELECT doc_id, len(regexp_extract_all(text, '(?i)the'))::BIGINT AS n FROM documents WHERE regexp_matches(text, '(?i)the')")
 def search_fold(spark, sf_dir):
-    return rel.hits(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "the", 1_000_000).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return _counted(table(spark, sf_dir, "documents").select("doc_id", "text"), "the")
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '(?i)of[ \\t\\n\\r\\f\\v]+the'))::BIGINT AS n FROM documents WHERE regexp_matches(text, '(?i)of[ \\t\\n\\r\\f\\v]+the')")
 def search_elastic_space(spark, sf_dir):
-    return rel.hits(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "of the", 1_000_000).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return _counted(table(spark, sf_dir, "documents").select("doc_id", "text"), "of the")
 
 
 @query("SELECT doc_id, line::INT AS line, n FROM (SELECT doc_id, unnest(range(len(s))) AS line, unnest(list_transform(s, lambda l: len(regexp_extract_all(l, '(?i)and'))::BIGINT)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) WHERE n > 0")
 def search_per_line_segments(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    return rel.hits(lines, "text", "and", 1_000_000).groupBy("doc_id", "line").agg(F.count("*").alias("n"))
+    return _counted(lines, "and")
 
 
 @query("SELECT doc_id, ord::INT AS ord, hit FROM (SELECT doc_id, unnest(h) AS hit, unnest(range(len(h))) AS ord FROM (SELECT doc_id, regexp_extract_all(text, '(?i)thth') AS h FROM documents)) WHERE ord < 5")
@@ -330,8 +336,16 @@ def gap_line_islands(spark, sf_dir):
 
 @query("SELECT l_linenumber, l_orderkey, (sum(l_quantity::BIGINT) OVER (PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) % 256)::BIGINT AS byte, l_partkey FROM lineitem")
 def png_up(spark, sf_dir):
-    w = Window.partitionBy("l_linenumber").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey", (F.sum(F.col("l_quantity").cast("long")).over(w) % 256).alias("byte"), "l_partkey")
+    """Running sums down a column.  A column has few keys, so it is cut into blocks of orders: sums within a block, and of all
+    blocks before it; no task holds a whole column."""
+    order = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"]
+    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", *order, F.col("l_quantity").cast("long").alias("v"), F.floor(F.col("l_orderkey") / 1024).alias("block"))
+    blocks = rows.groupBy("l_linenumber", "block").agg(F.sum("v").alias("total"))
+    before = Window.partitionBy("l_linenumber").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumn("before", F.coalesce(F.sum("total").over(before), F.lit(0))).drop("total")
+    inside = Window.partitionBy("l_linenumber", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    made = rows.withColumn("here", F.sum("v").over(inside)).join(offsets, ["l_linenumber", "block"])
+    return made.select("l_linenumber", "l_orderkey", ((F.col("here") + F.col("before")) % 256).alias("byte"), "l_partkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, (sum(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) % 65536)::BIGINT AS sample FROM lineitem")
@@ -412,21 +426,24 @@ _DIFF = "WITH d AS (SELECT a.vec_id, unnest(list_transform(list_zip(a.embedding,
 
 
 def _diff(spark, sf_dir):
+    """Distances of neighbouring vectors' bytes, summed up within the row: nothing is exploded."""
     e = table(spark, sf_dir, "embeddings")
     other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     byte = lambda x: F.floor(x * F.lit(128).cast("float"))
-    return e.join(other, "vec_id").select("vec_id", F.explode(F.zip_with("embedding", "other", lambda a, b: F.abs(byte(a) - byte(b)))).alias("d"))
+    d = e.join(other, "vec_id").select("vec_id", F.zip_with("embedding", "other", lambda a, b: F.abs(byte(a) - byte(b))).alias("d"))
+    over = lambda limit: F.size(F.filter("d", lambda v: v > limit)).cast("long")
+    total = F.aggregate("d", F.lit(0).cast("long"), lambda a, v: a + v)
+    return d.select("vec_id", over(8).alias("over8"), over(24).alias("over24"), (total / F.size("d")).alias("mean"), F.array_max("d").alias("most"), F.size("d").alias("n"))
 
 
 @query(_DIFF + "SELECT vec_id, count(*) FILTER (d > 8) AS over8, count(*) FILTER (d > 24) AS over24, round(avg(d), 9) AS mean, max(d) AS most FROM d GROUP BY vec_id")
 def pixel_diff(spark, sf_dir):
-    return _diff(spark, sf_dir).groupBy("vec_id").agg(F.count_if(F.col("d") > 8).alias("over8"), F.count_if(F.col("d") > 24).alias("over24"), F.round(F.avg("d"), 9).alias("mean"), F.max("d").alias("most"))
+    return _diff(spark, sf_dir).select("vec_id", "over8", "over24", F.round("mean", 9).alias("mean"), "most")
 
 
 @query(_DIFF + "SELECT vec_id FROM d GROUP BY vec_id HAVING 100 * count(*) FILTER (d > 24) <= 30 * count(*) AND avg(d) <= 20")
 def pixel_gate(spark, sf_dir):
-    g = _diff(spark, sf_dir).groupBy("vec_id").agg(F.count_if(F.col("d") > 24).alias("over"), F.count("*").alias("n"), F.avg("d").alias("mean"))
-    return g.where("100 * over <= 30 * n and mean <= 20").select("vec_id")
+    return _diff(spark, sf_dir).where("100 * over24 <= 30 * n and mean <= 20").select("vec_id")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 9 THEN p_size + 100 WHEN p_size BETWEEN 10 AND 29 THEN p_size + 490 ELSE 0 END AS cid FROM part")

@@ -38,3 +38,14 @@ def test_search_rules(spark):
     assert [(r.id, r.ord, r.hit) for r in rel.hits(df, "text", "alpha beta").orderBy("ord").collect()] == [(1, 0, "Alpha  beta"), (1, 1, "alpha\nbeta")]
     assert rel.hits(df, "text", "  ").count() == 0 and rel.hits(df, "text", "a", 2).count() == 2
     assert rel.hits(spark.createDataFrame([(1, "ſtop")], "id int, text string"), "text", "STOP").count() == 1
+
+
+def test_calculator_words(spark):
+    programs = {"x round": (-3.0, 3.0), "x cvi": (-2.0, 2.0), "x 2 mul 3 idiv": (-1.0, 1.0), "x 2 mul 3 mod": (-2.0, 2.0), "x 0 gt x 1 gt xor": (False, False), "x cvi 3 bitshift": (-16.0, 16.0), "x cvi -28 bitshift": (15.0, 0.0), "x 40 bitshift": (0.0, 0.0)}
+    rows = spark.createDataFrame([(-2.5,), (2.5,)], "x double").orderBy("x")
+    for program, expected in programs.items():
+        words = program.split()
+        inputs = [F.col("x")] * words.count("x")
+        body = " ".join(w for w in words if w != "x") if words.count("x") == 1 else "0 gt exch 1 gt xor"
+        (made,) = sc.calculator(body, *inputs)
+        assert tuple(r[0] for r in rows.select(made).collect()) == expected, program
