@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from .objects import Damaged, Name, Reader
 
-RANGES_MOST, SPACES_MOST, BASES_MOST, UNITS_MOST = 1 << 16, 1 << 10, 8, 256
+RANGES_MOST, SPACES_MOST, BASES_MOST, UNITS_MOST = 1 << 16, 128, 4, 256
 
 
 @dataclass

@@ -5,13 +5,15 @@ A file that cannot be read, in whatever way, has a status and costs no other fil
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import BinaryType, StructField, StructType, _parse_datatype_string
 
 from ..functions import geometry, labels as numerals, scalars
 from . import cmaps, shadings
@@ -22,7 +24,7 @@ from .objects import Damaged, Stream
 from .raster import rendered
 
 TOC_MOST, LINKS_MOST, AREA_MOST = 1000, 1000, 268_435_456
-SCHEMA = """path string, status string, page_count int, repaired boolean,
+SCHEMA = """path string, status string, page_count int, repaired boolean, decoded_bytes long,
  pages array<struct<page:int,x0:double,y0:double,x1:double,y1:double,rotate:int,width:double,height:double>>,
  label_ranges array<struct<first:int,style:string,prefix:string,start:long>>,
  outline array<struct<ord:int,depth:int,title:string,uri:string,page:int,x:double,y:double>>,
@@ -44,7 +46,7 @@ def parsed_one(path: str, content: bytes | None, password: str | None = None) ->
         doc = opened(content, password)
         pages = [{"page": p.number, **dict(zip(("x0", "y0", "x1", "y1"), p.box, strict=True)), "rotate": p.turn, "width": p.size[0], "height": p.size[1]} for p in doc.pages]
         names = ("page", "ord", "uri", "target", "x", "y", "x0", "y0", "x1", "y1")
-        return {"path": path, "status": "open" if doc.file.status else "locked", "page_count": len(pages), "repaired": doc.file.repaired, "pages": pages, "label_ranges": [dict(zip(("first", "style", "prefix", "start"), r, strict=True)) for r in doc.label_ranges()], "outline": [dict(zip(("ord", "depth", "title", "uri", "page", "x", "y"), r, strict=True)) for r in doc.outline()], "links": [dict(zip(names, r, strict=True)) for r in doc.links()]}
+        return {"path": path, "status": "open" if doc.file.status else "locked", "page_count": len(pages), "repaired": doc.file.repaired, "pages": pages, "label_ranges": [dict(zip(("first", "style", "prefix", "start"), r, strict=True)) for r in doc.label_ranges()], "decoded_bytes": doc.file.produced, "outline": [dict(zip(("ord", "depth", "title", "uri", "page", "x", "y"), r, strict=True)) for r in doc.outline()], "links": [dict(zip(names, r, strict=True)) for r in doc.links()]}
     except Damaged as error:
         return {"path": path, "status": f"damaged: {error}"}
     except Exception as error:  # noqa: BLE001  a hostile file must not end the job
@@ -160,6 +162,20 @@ def authenticated(files: DataFrame, password: str | Column) -> DataFrame:
     return _table(files, "path string, needs_password boolean, status int", make, password)
 
 
+def soak(files: DataFrame) -> DataFrame:
+    """path, whether the file opens, needs a password, and its pages: one row for every file, however broken."""
+
+    def make(path: str, content: bytes, word: str | None) -> Iterator[list[dict]]:
+        try:
+            doc = opened(content)
+        except Exception:  # noqa: BLE001  that is what the row says
+            yield [{"path": path, "open": False, "needs_password": False, "page_count": 0}]
+            return
+        yield [{"path": path, "open": True, "needs_password": not doc.file.status, "page_count": len(doc.pages)}]
+
+    return _table(files, "path string, open boolean, needs_password boolean, page_count int", make)
+
+
 def rows_of(parsed_files: DataFrame, column: str) -> DataFrame:
     """The table `pages`, `label_ranges`, `outline` or `links` with the path of its document."""
     return parsed_files.select("path", F.explode(column).alias("r")).select("path", "r.*")
@@ -288,3 +304,22 @@ def pixel_differences(one: DataFrame, other: DataFrame) -> DataFrame:
 def within_thresholds(differences: DataFrame, over8: float = 0.10, over24: float = 0.02, mean: float = 2.0) -> DataFrame:
     """differences with `passes`: whether a page keeps within the limits; a page without numbers does not."""
     return differences.withColumn("passes", F.coalesce((F.col("over8") <= over8) & (F.col("over24") <= over24) & (F.col("mean") <= mean), F.lit(False)))
+
+
+def png(pixels: bytes, width: int, height: int) -> bytes:
+    """Four bytes a pixel as a PNG file."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + pixels[4 * width * y : 4 * width * (y + 1)] for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def with_png(rendered: DataFrame) -> DataFrame:
+    """A table of pixels with a PNG file of each page."""
+    schema = StructType([*rendered.schema.fields, StructField("png", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [png(p, w, h) for p, w, h in zip(*(batch.column(c).to_pylist() for c in ("pixels", "width", "height")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "png"])
+
+    return rendered.mapInArrow(run, schema)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from .fonts import number
 from .objects import File, Stream
 
-INPUTS_MOST, OUTPUTS_MOST, NESTED_MOST, NODES_MOST, STEPS_MOST, STACK_MOST = 8, 32, 16, 256, 1 << 20, 100
+INPUTS_MOST, OUTPUTS_MOST, NESTED_MOST, NODES_MOST, STEPS_MOST, STACK_MOST = 8, 64, 16, 256, 1 << 20, 100
 SAMPLES_MOST = 1 << 22
 WORDS = re.compile(rb"%[^\r\n]*|([{}]|[^\0\t\n\f\r {}%]+)")
 

@@ -10,8 +10,11 @@ from dataclasses import dataclass
 
 from . import crypt
 from .codecs import FilterError, decoded
+from .store import Store
 
 DEEPEST, HOPS, OBJECT_MOST = 512, 64, 1 << 24
+#: Bytes of decoded streams that a document keeps.
+DECODED_MOST = 32 << 20
 SPACE = b"\0\t\n\f\r "
 TOKEN = re.compile(rb"[\0\t\n\f\r ]*(?:%[^\r\n]*[\0\t\n\f\r ]*)*(?:(?P<number>[+-]*(?:\d+\.?\d*|\.\d+)(?![^\0\t\n\f\r ()<>\[\]{}/%]))|/(?P<name>[^\0\t\n\f\r ()<>\[\]{}/%]*)|(?P<open><<|>>|[\[\]{}(<])|(?P<word>[^\0\t\n\f\r ()<>\[\]{}/%]+)|(?P<odd>[)>]))")
 REFERENCE = re.compile(rb"[\0\t\n\f\r ]+(\d+)[\0\t\n\f\r ]+R(?![^\0\t\n\f\r ()<>\[\]{}/%])")
@@ -151,6 +154,7 @@ class File:
         if b"%PDF" not in data[:1024]:
             raise Damaged("not a document of this kind")
         self.data, self.places, self.trailer, self.cache, self.repaired, self.open, self.key = data, {}, {}, {}, False, set(), None
+        self.decoded, self.produced = Store(DECODED_MOST), 0
         try:
             self._tables()
         except (Damaged, ValueError, IndexError, TypeError, FilterError):
@@ -181,6 +185,7 @@ class File:
         self.methods = {"StmF": method("StmF"), "StrF": method("StrF")}
         self.open_metadata = plain.get("EncryptMetadata") is False
         self.cache = {}
+        self.decoded.clear()
         return status
 
     def _decrypted(self, value, number: int, generation: int):
@@ -377,11 +382,16 @@ class File:
         return stages
 
     def content(self, stream: Stream) -> bytes:
-        """A stream's decoded data; what cannot be decoded is empty."""
+        """A stream's decoded data; what cannot be decoded is empty.  produced counts all bytes that filters gave."""
+        return self.decoded.get(id(stream), lambda: self._content(stream), lambda found: len(found[1]) + 64)[1]
+
+    def _content(self, stream: Stream) -> tuple[Stream, bytes]:
         try:
-            return decoded(stream.raw, self.stages(stream))
+            made = decoded(stream.raw, self.stages(stream))
         except FilterError:
-            return b""
+            made = b""
+        self.produced += len(made)
+        return stream, made  # the stream stays, so that no other one takes its place in memory
 
     def content_until(self, stream: Stream, stage: int) -> tuple[bytes, dict]:
         """A stream's data before a filter, and that filter's parameters: for the codecs of images."""
