@@ -31,6 +31,8 @@ PARTS = 4
 COLUMNS = 4096
 #: n-grams of a pair of blocks that a task compares at once: a group has as many fragments as that takes.
 VOLUME = 1 << 19
+#: Members of a group of candidates in one row.
+PIECE = 1 << 16
 
 
 class Threshold:
@@ -163,59 +165,74 @@ def _keys(size: int, percent: int, buckets: int):
     return run
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of classes that share a fragment: a hash of the members, their number, and the members."""
-    keys, prints = [], []
-    for batch in batches:
-        keys += [np.frombuffer(b, np.uint64) for b in batch.column("keys").to_pylist()]
-        prints += [np.frombuffer(b, np.int64) for b in batch.column("prints").to_pylist()]
-    if not keys:
-        return
-    key, print_ = np.concatenate(keys), np.concatenate(prints)
-    del keys, prints
-    order = np.argsort(key)
-    key, print_ = key[order], print_[order]
-    shared = np.zeros(len(key), bool)
-    same = key[1:] == key[:-1]
-    shared[1:] |= same
-    shared[:-1] |= same
-    key, print_ = key[shared], print_[shared]
-    order = np.lexsort((print_, key))
-    key, print_ = key[order], print_[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (print_[1:] != print_[:-1])
-    key, print_ = key[new], print_[new]
-    if not len(key):
-        return
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(start, len(key)))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(print_.view(np.uint64)))])
-    group = mixed(total[start + size] - total[start] + size.astype(np.uint64))
-    _, one = np.unique(group, return_index=True)
-    one = one[size[one] > 1]
-    for k in range(0, len(one), 5000):
-        some = one[k : k + 5000]
-        yield pa.RecordBatch.from_arrays([pa.array(group[some].view(np.int64)), pa.array(size[some], pa.int32()), pa.array([print_[s : s + n].tobytes() for s, n in zip(start[some].tolist(), size[some].tolist(), strict=True)], pa.binary())], names=["meeting", "size", "members"])
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each member and each pair of blocks that it takes part in; one pair for a group within a block."""
-    for batch in batches:
-        for meeting, blob in zip(batch.column("meeting").to_pylist(), batch.column("members").to_pylist(), strict=True):
-            member = np.frombuffer(blob, np.int64)
-            rows, low, high = block_pairs(len(member), 4 * BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), meeting)), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(member[rows])], names=["meeting", "low", "high", "print"])
-
-
-def block_pairs(n: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, low block, high block): every two of n rows stand together in one pair of blocks."""
-    blocks = -(-n // block)
-    if blocks <= 1:
-        return np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    of = np.arange(n) // block
-    other = np.tile(np.arange(blocks), n)
-    mine = np.repeat(of, blocks)
-    return np.repeat(np.arange(n), blocks), np.minimum(mine, other), np.maximum(mine, other)
+def _meetings(piece: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups of classes that share a fragment: a hash of the members, their number, and the members."""
+        keys, prints = [], []
+        for batch in batches:
+            keys += [np.frombuffer(b, np.uint64) for b in batch.column("keys").to_pylist()]
+            prints += [np.frombuffer(b, np.int64) for b in batch.column("prints").to_pylist()]
+        if not keys:
+            return
+        key, print_ = np.concatenate(keys), np.concatenate(prints)
+        del keys, prints
+        order = np.argsort(key)
+        key, print_ = key[order], print_[order]
+        shared = np.zeros(len(key), bool)
+        same = key[1:] == key[:-1]
+        shared[1:] |= same
+        shared[:-1] |= same
+        key, print_ = key[shared], print_[shared]
+        order = np.lexsort((print_, key))
+        key, print_ = key[order], print_[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (print_[1:] != print_[:-1])
+        key, print_ = key[new], print_[new]
+        if not len(key):
+            return
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(start, len(key)))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(print_.view(np.uint64)))])
+        group = mixed(total[start + size] - total[start] + size.astype(np.uint64))
+        _, one = np.unique(group, return_index=True)
+        one = one[size[one] > 1]
+        # a large group is several rows, none of which has more members than piece
+        for k in range(0, len(one), 5000):
+            cuts = [(g, n, s, at) for g, n, s in zip(group[one[k : k + 5000]].view(np.int64).tolist(), size[one[k : k + 5000]].tolist(), start[one[k : k + 5000]].tolist(), strict=True) for at in range(0, n, piece)]
+            for j in range(0, len(cuts), 5000):
+                some = cuts[j : j + 5000]
+                yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in some], pa.int64()), pa.array([c[1] for c in some], pa.int64()), pa.array([c[3] for c in some], pa.int64()), pa.array([print_[s + at : min(s + n, s + at + piece)].tobytes() for _, n, s, at in some], pa.binary())], names=["meeting", "size", "first", "members"])
+
+    return run
+
+
+def _members(block: int):
+    """A row for each member and each pair of blocks that it takes part in, a few thousand at once; every two members of a
+    group stand together in one pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["meeting", "low", "high", "print"]
+        out: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def made() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=names)
+
+        for batch in batches:
+            for meeting, size, first, blob in zip(*(batch.column(c).to_pylist() for c in ("meeting", "size", "first", "members")), strict=True):
+                member = np.frombuffer(blob, np.int64)
+                of = (first + np.arange(len(member))) // block
+                for other in range(-(-size // block)):
+                    out.append((np.full(len(member), meeting), np.minimum(of, other), np.maximum(of, other), member))
+                    held += len(member)
+                    if held > 1 << 16:
+                        yield made()
+                        out, held = [], 0
+        if out:
+            yield made()
+
+    return run
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, list[list]]]:
@@ -452,9 +469,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_colum
     classes = written(classes.select("print", "one.doc_id", "one.text_hash", "copies", "n", "outline"), "classes")
 
     made = rows.mapInArrow(_keys(words, percent, buckets), "bucket int, keys binary, prints binary")
-    meetings = made.repartitionById(buckets, F.col("bucket")).mapInArrow(_meetings, "meeting long, size int, members binary")
-    meetings = written(meetings.groupBy("meeting").agg(F.first("members").alias("members")), "meetings")
-    members = meetings.mapInArrow(_members, "meeting long, low int, high int, print long").join(classes.select("print", "n", "outline"), "print")
+    meetings = made.repartitionById(buckets, F.col("bucket")).mapInArrow(_meetings(PIECE), "meeting long, size long, first long, members binary")
+    meetings = written(meetings.groupBy("meeting", "first").agg(F.first("size").alias("size"), F.first("members").alias("members")), "meetings")
+    members = meetings.mapInArrow(_members(4 * BLOCK), "meeting long, low int, high int, print long").join(classes.select("print", "n", "outline"), "print")
     close = members.repartition(buckets, "meeting", "low", "high").sortWithinPartitions("meeting", "low", "high").mapInArrow(_close(percent), "a long, b long")
     groups = components(close)
     drop(meetings)

@@ -202,6 +202,7 @@ def test_jaccard_in_many_blocks(spark, monkeypatch):
     """Blocks of 8 classes and fragments of few n-grams: every link's overlap is a sum over several tasks."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     monkeypatch.setattr(jaccard, "VOLUME", 100)
+    monkeypatch.setattr(jaccard, "PIECE", 7)
     words = [f"w{k}" for k in range(60)]
     texts = [" ".join(w if (k * 7 + j) % 50 else f"x{k}" for j, w in enumerate(words)) for k in range(45)]
     made = spark.createDataFrame(list(enumerate([*texts, *texts[:5]])), "doc_id long, text string")
