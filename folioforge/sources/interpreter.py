@@ -348,7 +348,7 @@ class Interpreter:
 
     def set_space(self, args, fill: bool) -> None:
         name = args[-1]
-        found = colours.space(self.doc.file, name) if isinstance(name, Name) and str(name) in (*colours.NAMES, "Pattern") else None
+        found = colours.space(self.doc.file, name) if name in ("DeviceGray", "DeviceRGB", "DeviceCMYK", "Pattern") else None
         found = found or colours.space(self.doc.file, self.named("ColorSpace", name)) or colours.GRAY
         self._set(fill, Paint(found, found.rgb(found.first) if found.first else None))
 

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from folioforge.plans import files  # noqa: F401  registers its queries
+from folioforge.plans import files, files_more  # noqa: F401  register their queries
 from folioforge.plans.catalog import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
