@@ -27,7 +27,12 @@ def _files(spark: SparkSession, sf_dir: str, objects, tail: str = "trailer << /R
     """path (the part's key) and content; objects: columns of part, numbered from 1, or (number, column)."""
     numbered = [o if isinstance(o, tuple) else (k, o) for k, o in enumerate(objects, 1)]
     body = _said("%PDF-1.4\n", *[v for n, o in numbered for v in (f"{n} 0 obj\n", o, "\nendobj\n")], tail)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.encode(body, "ISO-8859-1").alias("content"))
+    return _spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("string").alias("path"), F.encode(body, "ISO-8859-1").alias("content"))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores: a small table is one partition, and a document takes longer to read than a row."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
 
 
 _ROOT, _TREE = "<< /Type /Catalog /Pages 2 0 R >>", "<< /Kids [3 0 R] >>"
@@ -198,7 +203,7 @@ def file_status(spark, sf_dir):
     """Files that are none of this kind have a status, and the others are read."""
     head = F.when(F.col("p_partkey") % 7 == 0, F.lit("%none")).otherwise(F.lit("%PDF-1.4"))
     body = _said(head, "\n1 0 obj\n", _ROOT, "\nendobj\n2 0 obj\n<< /Kids [] >>\nendobj\ntrailer << /Root 1 0 R >>")
-    files = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.encode(body, "ISO-8859-1").alias("content"))
+    files = _spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("string").alias("path"), F.encode(body, "ISO-8859-1").alias("content"))
     return docs.parsed(files).select(_key(), F.split("status", ":")[0].alias("status"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import documents as docs
 from .catalog import query
-from .files import _ROOT, _TREE, _files, _key, _page, _said, _stream, _typed
+from .files import _ROOT, _TREE, _files, _key, _page, _said, _spread, _stream, _typed
 
 _FONT = "/Font << /F << /Subtype /Type1 /BaseFont /Courier >> >>"
 
@@ -94,7 +94,7 @@ def file_cross_references(spark, sf_dir):
 def _rows(spark, sf_dir: str, body: Column) -> DataFrame:
     from .catalog import table
 
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.encode(body, "ISO-8859-1").alias("content"))
+    return _spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("string").alias("path"), F.encode(body, "ISO-8859-1").alias("content"))
 
 
 @query("SELECT p_partkey, 2 AS pages, (p_size + 1)::DOUBLE AS width FROM part")

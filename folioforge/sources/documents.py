@@ -24,6 +24,8 @@ from .objects import Damaged, Stream
 from .raster import rendered
 
 TOC_MOST, LINKS_MOST, AREA_MOST = 1000, 1000, 268_435_456
+#: Rows of one batch, and bytes of pixels that are held back for one.
+ROWS_HELD, BYTES_HELD = 1000, 8 << 20
 SCHEMA = """path string, status string, page_count int, repaired boolean, decoded_bytes long,
  pages array<struct<page:int,x0:double,y0:double,x1:double,y1:double,rotate:int,width:double,height:double>>,
  label_ranges array<struct<first:int,style:string,prefix:string,start:long>>,
@@ -57,6 +59,8 @@ def _rows(schema: pa.Schema, make: Callable[[str, bytes, str | None], Iterator[l
     """mapInArrow over path, content, password; make gives lists of rows of one file, and a file that fails ends there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        size = 0
         for batch in batches:
             for path, content, password in zip(batch.column("path").to_pylist(), batch.column("content"), batch.column("password").to_pylist(), strict=True):
                 found = make(path, content.as_py(), password)
@@ -67,8 +71,13 @@ def _rows(schema: pa.Schema, make: Callable[[str, bytes, str | None], Iterator[l
                         break
                     except Exception:  # noqa: BLE001  a hostile file must not end the job
                         break
-                    for k in range(0, len(rows), 10_000):
-                        yield pa.RecordBatch.from_pylist(rows[k : k + 10_000], schema=schema)
+                    held += rows
+                    size += sum(len(r.get("pixels") or b"") for r in rows)
+                    while len(held) >= ROWS_HELD or held and size >= BYTES_HELD:
+                        yield pa.RecordBatch.from_pylist(held[:ROWS_HELD], schema=schema)
+                        held, size = held[ROWS_HELD:], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     return run
 
